@@ -19,17 +19,16 @@ of a slice once.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK, block_rows, by_segment, merged, owned, pack, read_arrays, unpack, write_arrays
 from .common import arrow_map, scratch_path, spans_of_equal, stash, utf8_values
 from .elias_fano import EliasFano
 
@@ -64,73 +63,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9) >> _U(20)
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit integers, the first of them sorted, as one block."""
-    parts = []
-    for i, c in enumerate(columns):
-        c = c.astype(_U)
-        c = np.diff(c, prepend=_U(0)) if i == 0 else c
-        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes())
-    return zstd.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def unpack(block: bytes, columns: int) -> list[np.ndarray]:
-    data = np.frombuffer(zstd.ZstdDecompressor().decompress(block), np.uint8)
-    n = len(data) // (8 * columns)
-    out = []
-    for i in range(columns):
-        c = np.ascontiguousarray(data[i * 8 * n : (i + 1) * 8 * n].reshape(8, n).T).view(_U).reshape(-1)
-        out.append(np.cumsum(c, dtype=_U) if i == 0 else c)
-    return out
-
-
-def merged(keys: list[np.ndarray], *values: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order with the sums of their values."""
-    k = np.concatenate(keys) if keys else np.zeros(0, _U)
-    order = np.argsort(k, kind="stable")
-    k = k[order]
-    cuts = spans_of_equal(k)[:-1]
-    sums = [np.add.reduceat(np.concatenate(v)[order], cuts) if len(cuts) else np.zeros(0, np.int64) for v in values]
-    return k[cuts], *sums
-
-
-def write_arrays(uri: str, arrays: list[np.ndarray]) -> None:
-    """A file of arrays behind a JSON header, put in place whole by a rename."""
-    import uuid
-
-    from pyarrow import fs
-
-    head, at = [], 0
-    for a in arrays:
-        head.append([a.dtype.str, len(a), at])
-        at += -(-a.nbytes // 8) * 8
-    header = json.dumps(head).encode()
-    header += b" " * (-len(header) % 8)
-    system, path = fs.FileSystem.from_uri(uri)
-    system.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with system.open_output_stream(part) as f:
-        f.write(len(header).to_bytes(8, "little") + header)
-        for a in arrays:
-            f.write(a.tobytes() + bytes(-a.nbytes % 8))
-    system.move(part, path)
-
-
-def read_arrays(uri: str) -> list[np.ndarray]:
-    """The arrays of a file, mapped into memory where the file system allows."""
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
-    if isinstance(system, fs.LocalFileSystem):
-        raw = np.memmap(path, np.uint8, "r")
-    else:
-        with system.open_input_stream(path) as f:
-            raw = np.frombuffer(f.read(), np.uint8)
-    size = int.from_bytes(raw[:8].tobytes(), "little")
-    body = raw[8 + size :]
-    return [body[at : at + n * np.dtype(kind).itemsize].view(kind) for kind, n, at in json.loads(raw[8 : 8 + size].tobytes())]
-
-
 def trains(id_col: str = "doc_id", folds: int = 10, fold: int = 0) -> Column:
     """Whether the model may learn from the row; rows without an id never."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds != fold, F.lit(False))
@@ -282,32 +214,6 @@ def pairs_of(words: np.ndarray, sizes: np.ndarray, bos: int, end: int) -> tuple[
     return before, after
 
 
-def _blocks(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
-    kind, segment, block = zip(*rows) if rows else ([], [], [])
-    return pa.record_batch([pa.array(kind, pa.string()), pa.array(segment, pa.int32()), pa.array(block, pa.binary())], ["kind", "segment", "block"])
-
-
-_BLOCK = "kind string, segment int, block binary"
-
-
-def _by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
-    """Blocks of one segment after the other, from rows sorted by segment."""
-    now, held = None, []
-    for batch in batches:
-        for kind, segment, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if segment != now and held:
-                yield now, held
-                held = []
-            now = segment
-            held.append((kind, block))
-    if held:
-        yield now, held
-
-
-def _owned(blocks: DataFrame, segments: int) -> DataFrame:
-    return blocks.select("kind", "segment", "block").repartition(segments, "segment").sortWithinPartitions("segment")
-
-
 def _count_words(docs: DataFrame, text_col: str, segments: int) -> DataFrame:
     """Blocks of (hash, count) for each vocabulary segment, and of text counts."""
 
@@ -320,7 +226,7 @@ def _count_words(docs: DataFrame, text_col: str, segments: int) -> DataFrame:
             k, c = merged(keys, counts)
             segment = ((k >> _U(32)) * _U(segments) >> _U(32)).astype(np.int64)
             cuts = spans_of_equal(segment)
-            return _blocks([("words", int(segment[lo]), pack(k[lo:hi], c[lo:hi])) for lo, hi in zip(cuts[:-1], cuts[1:])])
+            return block_rows([("words", int(segment[lo]), pack(k[lo:hi], c[lo:hi])) for lo, hi in zip(cuts[:-1], cuts[1:])])
 
         for batch in slices(batches, 0):
             words, sizes, hashes = numbered(utf8_values(batch.column(0)))
@@ -332,9 +238,9 @@ def _count_words(docs: DataFrame, text_col: str, segments: int) -> DataFrame:
                 yield release()
                 keys, counts, held = [], [], 0
         yield release()
-        yield _blocks([("texts", 0, pack(np.array([texts])))])
+        yield block_rows([("texts", 0, pack(np.array([texts])))])
 
-    return arrow_map(docs, [text_col], run, _BLOCK)
+    return arrow_map(docs, [text_col], run, BLOCK)
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = SEGMENT_TOKENS) -> Trie:
@@ -346,7 +252,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segme
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for k, blocks in _by_segment(batches):
+        for k, blocks in by_segment(batches):
             texts = sum(int(unpack(b, 1)[0][0]) for kind, b in blocks if kind == "texts")
             parts = [unpack(b, 2) for kind, b in blocks if kind == "words"]
             hashes, counts = merged([p[0] for p in parts], [p[1].astype(np.int64) for p in parts])
@@ -355,7 +261,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segme
         cols = list(zip(*out)) if out else [[]] * 4
         yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["segment", "types", "tokens", "texts"])
 
-    counted = _owned(_count_words(docs, text_col, guess), guess)
+    counted = owned(_count_words(docs, text_col, guess), guess)
     # One row for each segment.
     sizes = {r["segment"]: r for r in stash(counted.mapInArrow(write_words, "segment long, types long, tokens long, texts long"), "sizes").collect()}
     types = [sizes[k]["types"] if k in sizes else 0 for k in range(guess)]
@@ -381,7 +287,7 @@ def _build_pairs(docs: DataFrame, trie: Trie, text_col: str) -> None:
             for k, (keys, counts) in held.items():
                 key, n = merged(keys, counts)
                 rows.append(("pairs", k, pack(key, n)))
-            return _blocks(rows)
+            return block_rows(rows)
 
         for batch in slices(batches, 0):
             words, sizes, hashes = numbered(utf8_values(batch.column(0)))
@@ -413,7 +319,7 @@ def _build_pairs(docs: DataFrame, trie: Trie, text_col: str) -> None:
     offsets = trie.offsets
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, blocks in _by_segment(batches):
+        for k, blocks in by_segment(batches):
             parts = [unpack(b, 2) for _, b in blocks]
             key, times = merged([p[0] for p in parts], [p[1].astype(np.int64) for p in parts])
             u, v = (key >> _U(32)).astype(np.int64), key & _U(0xFFFFFFFF)
@@ -431,10 +337,10 @@ def _build_pairs(docs: DataFrame, trie: Trie, text_col: str) -> None:
             rows += _dealt("context", context, [np.add.reduceat(times, first), np.diff(cuts)], offsets)
             few = [int((times == c).sum()) for c in (1, 2)]
             rows.append(("pairs", k, pack(np.array([0]), np.array([few[0]]), np.array([few[1]]), np.array([len(times)]))))
-            yield _blocks(rows)
+            yield block_rows(rows)
 
-    counted = _owned(arrow_map(docs, [text_col], count, _BLOCK), trie.pair_segments)
-    sums = stash(counted.mapInArrow(write_pairs, _BLOCK), "sums")
+    counted = owned(arrow_map(docs, [text_col], count, BLOCK), trie.pair_segments)
+    sums = stash(counted.mapInArrow(write_pairs, BLOCK), "sums")
     # One small block for each segment of pairs.
     few = [[int(c[0]) for c in unpack(r["block"], 4)] for r in sums.where("kind = 'pairs'").select("block").collect()]
     n1, n2, trie.pair_types = (sum(f[i] for f in few) for i in (1, 2, 3))
@@ -460,7 +366,7 @@ def _build_pairs(docs: DataFrame, trie: Trie, text_col: str) -> None:
 
     def write_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = []
-        for k, blocks in _by_segment(batches):
+        for k, blocks in by_segment(batches):
             size = FIRST if k < 0 else int(offsets[k + 1] - offsets[k])
             seen, total, kinds = (np.zeros(size, np.int64) for _ in range(3))
             start = 0 if k < 0 else int(offsets[k])
@@ -476,7 +382,7 @@ def _build_pairs(docs: DataFrame, trie: Trie, text_col: str) -> None:
             done.append(k)
         yield pa.record_batch([pa.array(done, pa.int32())], ["segment"])
 
-    parts = _owned(sums.where("kind <> 'pairs'"), trie.vocabulary_segments)
+    parts = owned(sums.where("kind <> 'pairs'"), trie.vocabulary_segments)
     done = {r[0] for r in stash(parts.mapInArrow(write_types, "segment int"), "types").collect()}
     for k in set(range(-1, trie.vocabulary_segments)) - done:
         size = FIRST if k < 0 else int(offsets[k + 1] - offsets[k])
