@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, ngram_lm, quality, simhash, suffix_dedup, token_counts, toxicity, warc
+from . import bpe, decontaminate, html_extract, ngram_lm, quality, simhash, suffix_dedup, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_simhash": op2_simhash,
         "op3_bpe": op3_bpe,
+        "op4_html": op4_html,
         "op5_quality": op5_quality,
         "op6_token_counts": op6_token_counts,
         "op7_ngram_lm": op7_ngram_lm,
