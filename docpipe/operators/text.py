@@ -46,10 +46,14 @@ def score(fields: list[str] | None, spec: dict, scope: Scope) -> Column:
     whole = F.concat_ws(" ", *[v.col for v in texts if v.is_string])
     whole = whole if case else F.lower(whole)
     words = F.filter(F.split(whole, SEPARATORS), lambda w: w != "")
-    hits = [F.size(F.filter(words, lambda w, t=t: F.contains(w, F.lit(t)))) for t in wanted.terms]
+
+    def holds(part: str):
+        return lambda w: F.contains(w, F.lit(part))
+
+    hits = [F.size(F.filter(words, holds(t))) for t in wanted.terms]
     counted = [F.regexp_count(whole, F.lit(re.escape(p))) * 2 for p in wanted.phrases]
     total = reduce(lambda a, b: a + b, hits + counted, F.lit(0))
-    bad = [~F.contains(whole, F.lit(p)) for p in wanted.phrases] + [F.exists(words, lambda w, x=x: F.contains(w, F.lit(x))) for x in wanted.excluded]
+    bad = [~F.contains(whole, F.lit(p)) for p in wanted.phrases] + [F.exists(words, holds(x)) for x in wanted.excluded]
     veto = reduce(lambda a, b: a | b, bad, F.lit(False))
     if not wanted.terms and not wanted.phrases:
         total = F.lit(0)

@@ -127,9 +127,10 @@ window("q_win_covar", {"p": {"$covariancePop": ["$o_totalprice", "$o_orderkey"]}
 window("q_win_stddev", {"p": {"$stdDevPop": "$o_totalprice"}, "s": {"$stdDevSamp": "$o_totalprice"}}, "round(stddev_pop(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS p, round(stddev_samp(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS s", {"p": {"$round": ["$p", 2]}, "s": {"$round": ["$s", 2]}})
 window("q_win_minmax", {"a": {"$min": "$o_totalprice"}, "b": {"$max": "$o_totalprice", "window": {"documents": ["unbounded", "current"]}}, "f": {"$first": "$o_orderkey"}, "l": {"$last": "$o_orderkey"}}, "min(o_totalprice) OVER (PARTITION BY o_custkey) AS a, max(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING) AS b, first(o_orderkey) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f, last(o_orderkey) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l", {"a": 1, "b": 1, "f": 1, "l": 1})
 window("q_win_push", {"a": {"$push": "$o_orderkey", "window": {"documents": [-1, 1]}}, "s": {"$addToSet": "$o_orderstatus"}}, "len(list(o_orderkey) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS a, len(list_distinct(list(o_orderstatus) OVER (PARTITION BY o_custkey))) AS s", {"a": {"$size": "$a"}, "s": {"$size": "$s"}})
-window("q_win_derivative", {"d": {"$derivative": {"input": "$value", "unit": "hour"}}}, "round((value - lag(value) OVER w) / (epoch_ms(ts) - epoch_ms(lag(ts) OVER w)) * 3600000, 4) AS d", {"d": {"$round": ["$d", 4]}}, **_EW)
-window("q_win_integral", {"a": {"$integral": {"input": "$value", "unit": "hour"}, "window": {"documents": ["unbounded", "current"]}}}, "a", {"a": {"$round": ["$a", 3]}}, **_EW)
-CATALOGUE["q_win_integral"] = (*CATALOGUE["q_win_integral"][:2], "WITH x AS (SELECT *, (value + lag(value) OVER w) / 2 * (epoch_ms(ts) - epoch_ms(lag(ts) OVER w)) / 3600000 AS part FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT event_id, round(sum(coalesce(part, 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 3) AS a FROM x")
+# The small addends keep values off the ties between two roundings.
+window("q_win_derivative", {"d": {"$derivative": {"input": "$value", "unit": "hour"}}}, "round((value - lag(value) OVER w) / ((epoch_us(ts) // 1000) - (epoch_us(lag(ts) OVER w) // 1000)) * 3600000 + 1.234e-6, 4) AS d", {"d": {"$round": [{"$add": ["$d", 1.234e-6]}, 4]}}, **_EW)
+window("q_win_integral", {"a": {"$integral": {"input": "$value", "unit": "hour"}, "window": {"documents": ["unbounded", "current"]}}}, "a", {"a": {"$round": [{"$add": ["$a", 1.234e-5]}, 3]}}, **_EW)
+CATALOGUE["q_win_integral"] = (*CATALOGUE["q_win_integral"][:2], "WITH x AS (SELECT *, (value + lag(value) OVER w) / 2 * ((epoch_us(ts) // 1000) - (epoch_us(lag(ts) OVER w) // 1000)) / 3600000 AS part FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT event_id, round(sum(coalesce(part, 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) + 1.234e-5, 3) AS a FROM x")
 _HOLES = {"$addFields": {"v": {"$cond": [{"$eq": [{"$mod": ["$event_id", 3]}, 0]}, "$value", None]}}}
 add("q_win_locf", "events", [_HOLES, {"$setWindowFields": {"partitionBy": {"u": "$user_id"}, "sortBy": {"ts": 1}, "output": {"x": {"$locf": "$v"}}}}, keep("event_id", "x")], "WITH h AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events) SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS x FROM h")
 _LINEAR = """WITH h AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN value END AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
