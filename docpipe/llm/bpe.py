@@ -206,30 +206,33 @@ def encode_digests(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
+    with_ids: bool = False,
 ) -> DataFrame:
     """Encode, decode again, and return counts and SHA-256 digests of both.
 
-    The digests are taken where the ids are, so that ids and bytes need not
-    travel back to the JVM.  Edge cases are those of :func:`encode`.
+    The digests are taken where the ids are, so that ids, unless asked for, and
+    bytes need not travel back to the JVM.  Edge cases are those of :func:`encode`.
     """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         sha = hashlib.sha256
         for batch in batches:
-            count, ids_sha, text_sha = [], [], []
-            for ids in c.encode_batch(str_values(batch.column(1))):
-                count.append(len(ids))
-                ids_sha.append(sha(",".join(map(str, ids)).encode()).hexdigest())
-                text_sha.append(sha(c.decode(ids)).hexdigest())
-            yield pa.record_batch(
-                [batch.column(0).cast(pa.int64()), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return arrow_map(
-        docs, [id_col, text_col], run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                count, ids_sha, text_sha, all_ids = [], [], [], []
+                for ids in c.encode_batch(str_values(part.column(1))):
+                    count.append(len(ids))
+                    ids_sha.append(sha(",".join(map(str, ids)).encode()).hexdigest())
+                    text_sha.append(sha(c.decode(ids)).hexdigest())
+                    if with_ids:
+                        all_ids.append(ids)
+                columns = [part.column(0).cast(pa.int64()), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                yield pa.record_batch(columns + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return arrow_map(docs, [id_col, text_col], run, schema)
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
