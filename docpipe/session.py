@@ -24,6 +24,7 @@ from .operators.stages import Context, run_pipeline, sort_keys
 from .operators.update import Updater, check_replacement, check_update, upsert_seed
 from .sources.catalog import ID_INDEX, Catalog, check_name
 from .sources.documents import document_of, frame_of
+from .sources.json_files import read_json
 
 ORDINAL = "_ord"
 _SCORE = "_text_score"
@@ -59,13 +60,17 @@ class Engine:
         """A read-only database of the Parquet tables in a folder."""
         return Database(self, name, tables=folder)
 
+    def from_json(self, folder: str, name: str = "documents", lines: bool = True) -> Database:
+        """A read-only database of the JSON files ``<collection>.json`` in a folder."""
+        return Database(self, name, tables=folder, json_lines=lines)
+
     def __getitem__(self, name: str) -> Database:
         return self.db(name)
 
 
 class Database:
-    def __init__(self, engine: Engine, name: str, tables: str | None = None):
-        self.engine, self.name, self.tables = engine, name, tables
+    def __init__(self, engine: Engine, name: str, tables: str | None = None, json_lines: bool | None = None):
+        self.engine, self.name, self.tables, self.json_lines = engine, name, tables, json_lines
         self.spark = engine.spark
         self.catalog = Catalog(engine.spark, engine.root, name)
         self._collections: dict[str, Collection] = {}
@@ -235,6 +240,8 @@ class Collection:
     # --- reading ---
 
     def _raw(self) -> DataFrame:
+        if self.db.tables and self.db.json_lines is not None:
+            return read_json(self.spark, f"{self.db.tables}/{self.name}.json", lines=self.db.json_lines)
         if self.db.tables:
             return self.spark.read.parquet(f"{self.db.tables}/{self.name}.parquet")
         df = self.db.catalog.read(self.name)
