@@ -60,6 +60,10 @@ class Engine:
         """A read-only database of the Parquet tables in a folder."""
         return Database(self, name, tables=folder)
 
+    def from_frames(self, frames: dict[str, DataFrame], indexes: dict[str, list[dict]] | None = None, name: str = "frames") -> Database:
+        """A read-only database of frames, with index metadata for text and geo queries."""
+        return Database(self, name, tables="frames", frames=frames, given_indexes=indexes or {})
+
     def from_json(self, folder: str, name: str = "documents", lines: bool = True) -> Database:
         """A read-only database of the JSON files ``<collection>.json`` in a folder."""
         return Database(self, name, tables=folder, json_lines=lines)
@@ -69,8 +73,17 @@ class Engine:
 
 
 class Database:
-    def __init__(self, engine: Engine, name: str, tables: str | None = None, json_lines: bool | None = None):
+    def __init__(
+        self,
+        engine: Engine,
+        name: str,
+        tables: str | None = None,
+        json_lines: bool | None = None,
+        frames: dict[str, DataFrame] | None = None,
+        given_indexes: dict[str, list[dict]] | None = None,
+    ):
         self.engine, self.name, self.tables, self.json_lines = engine, name, tables, json_lines
+        self.frames, self.given_indexes = frames, given_indexes or {}
         self.spark = engine.spark
         self.catalog = Catalog(engine.spark, engine.root, name)
         self._collections: dict[str, Collection] = {}
@@ -240,6 +253,8 @@ class Collection:
     # --- reading ---
 
     def _raw(self) -> DataFrame:
+        if self.db.frames is not None:
+            return self.db.frames[self.name]
         if self.db.tables and self.db.json_lines is not None:
             return read_json(self.spark, f"{self.db.tables}/{self.name}.json", lines=self.db.json_lines)
         if self.db.tables:
@@ -252,7 +267,8 @@ class Collection:
         return self._raw().drop(ORDINAL)
 
     def indexes(self) -> list[dict]:
-        return [dict(ID_INDEX)] if self.db.tables else self.db.catalog.state(self.name).indexes
+        given = self.db.given_indexes.get(self.name, [])
+        return [dict(ID_INDEX), *given] if self.db.tables else self.db.catalog.state(self.name).indexes
 
     list_indexes = indexes
 
@@ -450,6 +466,17 @@ class Collection:
             self._commit(new)
         return result
 
+    def updated_df(self, filter: dict, update: dict, array_filters: list[dict] | None = None) -> DataFrame:
+        """All documents as an update of many would leave them; nothing is written."""
+        check_update(update)
+        df = self._raw()
+        df = df if ORDINAL in df.columns else df.withColumn(ORDINAL, F.lit(0).cast(LONG))
+        scope = Scope(df.drop(ORDINAL).schema)
+        hit = compile_filter(filter, scope)
+        body = {k: v for k, v in update.items() if k != "$setOnInsert"}
+        changed = Updater(scope, filter, array_filters).apply(fields_of(df.drop(ORDINAL)), body)
+        return _replaced(df, hit, changed)[0].drop(ORDINAL)
+
     def update_one(self, filter: dict, update: dict, upsert: bool = False, array_filters: list[dict] | None = None) -> dict:
         return self._update(filter, update, True, upsert, array_filters)
 

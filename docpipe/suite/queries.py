@@ -211,14 +211,80 @@ def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).from_parquet(sf_dir).collection("orders").distinct_df("o_orderpriority", {"o_orderstatus": "F"})
 
 
+# --- updates, sinks, text and near queries ---
+_UPDATE = {"$set": {"flag": "x"}, "$inc": {"o_custkey": 5}, "$mul": {"o_totalprice": 2}, "$unset": {"o_orderpriority": ""}, "$min": {"o_orderkey": 500}}
+
+
+def _update_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coll = Engine(spark).from_parquet(sf_dir).collection("orders")
+    return coll.updated_df({"o_orderstatus": "F"}, _UPDATE).drop("o_orderdate")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return Engine(spark).from_frames({"p": parts}).collection("p").aggregate([{"$project": {"p_partkey": 1, "w": {"$split": ["$p_type", " "]}}}]).to_df()
+
+
+def _update_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coll = Engine(spark).from_frames({"p": _words(spark, sf_dir)}).collection("p")
+    once = coll.updated_df({"w": "STEEL"}, {"$push": {"w": {"$each": ["ZZ", "AA"], "$sort": 1, "$slice": 3}}})
+    twice = Engine(spark).from_frames({"p": once}).collection("p").updated_df({}, {"$addToSet": {"w": "AA"}, "$pull": {"w": "BRASS"}})
+    return Engine(spark).from_frames({"p": twice}).collection("p").aggregate([{"$project": {"p_partkey": 1, "n": {"$size": "$w"}, "first": {"$first": "$w"}}}]).to_df()
+
+
+def _update_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coll = Engine(spark).from_frames({"p": _words(spark, sf_dir)}).collection("p")
+    df = coll.updated_df({"w": "STEEL"}, {"$set": {"w.$": "IRON", "w.$[t]": "TALL"}}, [{"t": {"$regex": "^T"}}])
+    return Engine(spark).from_frames({"p": df}).collection("p").aggregate([{"$project": {"p_partkey": 1, "iron": {"$in": ["IRON", "$w"]}, "tall": {"$size": {"$filter": {"input": "$w", "cond": {"$eq": ["$$this", "TALL"]}}}}}}]).to_df()
+
+
+def _out_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored copy of some orders, into which changed and further ones are merged."""
+    from uuid import uuid4
+
+    from ..sources.scratch import shared_dir
+
+    db = Engine(spark, f"{shared_dir(spark)}/suite-{uuid4().hex}").connect().db("d")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    db.source.insert_frame(orders.selectExpr("o_orderkey AS _id", "o_custkey AS cust", "o_totalprice AS price"))
+    db.source.aggregate([{"$match": {"cust": {"$lt": 100}}}, {"$out": "kept"}])
+    db.source.aggregate([{"$match": {"cust": {"$gte": 50, "$lt": 150}}}, {"$project": {"price": {"$multiply": ["$price", 10]}}}, {"$merge": {"into": "kept"}}])
+    return db.kept.aggregate([{"$project": {"_id": 0, "key": "$_id", "cust": 1, "price": 1}}]).to_df()
+
+
+def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    db = Engine(spark).from_frames({"d": docs}, {"d": [{"key": {"text": "text"}, "name": "text_text"}]})
+    found = db.d.find({"$text": {"$search": "tion -worthless"}}, {"doc_id": 1, "score": {"$meta": "textScore"}}).to_df()
+    return Engine(spark).from_frames({"f": found}).f.aggregate([{"$project": {"doc_id": 1, "score": {"$round": ["$score", 8]}}}]).to_df()
+
+
+def _geo_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    placed = Engine(spark).from_frames({"c": customers}).c.aggregate([_LOC]).to_df()
+    db = Engine(spark).from_frames({"c": placed}, {"c": [{"key": {"loc": "2dsphere"}, "name": "loc_2dsphere"}]})
+    near = {"$geoNear": {"near": {"type": "Point", "coordinates": [10, 20]}, "distanceField": "d", "maxDistance": 3_000_000, "distanceMultiplier": 0.001, "query": {"c_acctbal": {"$gt": 0}}}}
+    return db.c.aggregate([near, {"$project": {"c_custkey": 1, "d": {"$round": ["$d", 3]}}}]).to_df()
+
+
+WRITTEN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "q_update_fields": (_update_fields, "SELECT CASE WHEN o_orderstatus = 'F' THEN least(o_orderkey, 500) ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey + 5 ELSE o_custkey END AS o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 'x' END AS flag FROM orders"),
+    "q_update_arrays": (_update_arrays, "WITH a AS (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part), b AS (SELECT p_partkey, CASE WHEN list_contains(w, 'STEEL') THEN list_sort(list_concat(w, ['ZZ', 'AA']))[1:3] ELSE w END AS w FROM a), c AS (SELECT p_partkey, list_filter(CASE WHEN list_contains(w, 'AA') THEN w ELSE list_append(w, 'AA') END, lambda x: x <> 'BRASS') AS w FROM b) SELECT p_partkey, len(w) AS n, w[1] AS first FROM c"),
+    "q_update_positional": (_update_positional, "SELECT p_partkey, list_contains(string_split(p_type, ' '), 'STEEL') AS iron, CASE WHEN list_contains(string_split(p_type, ' '), 'STEEL') THEN len(list_filter(string_split(p_type, ' '), lambda x: x LIKE 'T%')) ELSE 0 END AS tall FROM part"),
+    "q_out_merge": (_out_merge, "SELECT o_orderkey AS key, CASE WHEN o_custkey < 100 THEN o_custkey END AS cust, CASE WHEN o_custkey >= 50 THEN o_totalprice * 10 ELSE o_totalprice END AS price FROM orders WHERE o_custkey < 150"),
+    "q_text": (_text, r"WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\s[:punct:]]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, round(len(list_filter(w, lambda x: contains(x, 'tion'))) / sqrt(len(w)), 8) AS score FROM w WHERE len(list_filter(w, lambda x: contains(x, 'tion'))) > 0 AND len(list_filter(w, lambda x: contains(x, 'worthless'))) = 0"),
+    "q_geo_near": (_geo_near, f"SELECT c_custkey, round({_HAV} / 1000, 3) AS d FROM (SELECT c_custkey, c_acctbal, (c_custkey % 360) - 180 AS x, ((c_custkey * 7) % 170) - 85 AS y FROM customer) WHERE {_HAV} <= 3000000 AND c_acctbal > 0"),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _runner(collection, pipeline) for name, (collection, pipeline, _) in CATALOGUE.items()}
-    return out | {"q_find_sort_page": _find_page, "q_distinct": _distinct}
+    return out | {"q_find_sort_page": _find_page, "q_distinct": _distinct} | {name: fn for name, (fn, _) in WRITTEN.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: sql for name, (_, _, sql) in CATALOGUE.items() if sql}
-    return out | {
+    return out | {name: sql for name, (_, sql) in WRITTEN.items()} | {
         "q_find_sort_page": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10",
         "q_distinct": "SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderstatus = 'F'",
     }
