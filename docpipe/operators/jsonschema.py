@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.core import DOUBLE, V, get_field
-from .match import all_of, any_of, deep_equal, type_test
+from .match import all_of, any_of, deep_equal, negated, type_test
 
 #: JSON type names and what they are called as value types.
 JSON_TYPES = {"object": "object", "array": "array", "string": "string", "number": "number", "integer": "int", "boolean": "bool", "null": "null"}
@@ -40,7 +40,7 @@ def valid(v: V, schema: dict) -> Column:
             total = sum((F.when(valid(v, s), 1).otherwise(0) for s in value), F.lit(0))
             out.append(total == 1)
         elif key == "not":
-            out.append(~valid(v, value))
+            out.append(negated(valid(v, value)))
     out += _object_rules(v, schema) + _array_rules(v, schema) + _string_rules(v, schema) + _number_rules(v, schema)
     return all_of(out)
 

@@ -1,7 +1,8 @@
 """The filter language: filter documents become boolean columns.
 
-Every predicate is true or false, never null, so negation keeps rows whose
-field is null or missing.
+A predicate that is null counts as false.  Comparisons are left bare, so that
+they reach the scan; negations close what they negate first, and so keep rows
+whose field is null or missing.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..errors import DocError, TypeMismatch, UnknownOperator
 from ..functions.core import (
-    DOUBLE, LONG, Scope, V, any_on_path, compile_expr, less, literal, rank_of, truthy, unified,
+    DOUBLE, LONG, Scope, V, any_on_path, comparable, compared, compile_expr, less, literal, rank_of, truthy, unified,
 )
 from ..functions.strings import java_regex
 
@@ -37,8 +38,9 @@ def _no() -> Column:
     return F.lit(False)
 
 
-def _closed(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+def negated(c: Column) -> Column:
+    """True where the predicate is false or null."""
+    return ~F.coalesce(c, F.lit(False))
 
 
 def all_of(parts: list[Column]) -> Column:
@@ -56,9 +58,9 @@ def _regex(value: re.Pattern, options: str = "") -> str:
 
 def _matches(v: V, pattern: str) -> Column:
     if v.is_string:
-        return _closed(F.rlike(v.col, F.lit(pattern)))
+        return (F.rlike(v.col, F.lit(pattern)))
     if v.is_array and isinstance(v.type.elementType, T.StringType):
-        return _closed(F.exists(v.col, lambda x: F.rlike(x, F.lit(pattern))))
+        return (F.exists(v.col, lambda x: F.rlike(x, F.lit(pattern))))
     return _no()
 
 
@@ -81,7 +83,7 @@ def deep_equal(v: V, value: Any) -> Column:
         (a, b), _ = unified([v, wanted])
     except TypeMismatch:
         return _no()
-    return _closed(a == b)
+    return (a == b)
 
 
 def equals(v: V, value: Any) -> Column:
@@ -92,15 +94,20 @@ def equals(v: V, value: Any) -> Column:
     if v.is_array:
         element = v.type.elementType
         if value is None:
-            inside = _closed(F.exists(v.col, lambda x: x.isNull()))
+            inside = (F.exists(v.col, lambda x: x.isNull()))
         else:
-            inside = _closed(F.exists(v.col, lambda x: deep_equal(V(x, element), value)))
+            inside = (F.exists(v.col, lambda x: deep_equal(V(x, element), value)))
         return whole | inside
     return whole
 
 
 def _ordered(v: V, op: str, value: Any) -> Column:
     w = literal(value)
+    plain = not v.missing and not v.is_array and not v.is_struct and not v.is_null
+    if plain and value is not None and comparable(v, w):
+        x, y = compared(v, w)
+        test = {"$lt": x < y, "$lte": x <= y, "$gt": x > y, "$gte": x >= y}[op]
+        return test | x.isNull() if op in ("$lt", "$lte") else test
     if op in ("$lt", "$lte"):
         return less(v, w, op == "$lte")
     return less(w, v, op == "$gte")
@@ -117,16 +124,16 @@ def type_test(v: V, wanted: Any) -> Column:
     if name == "array":
         return v.col.isNotNull() if v.is_array else _no()
     if v.is_array:
-        return _closed(F.exists(v.col, lambda x: type_test(V(x, v.type.elementType), name)))
+        return (F.exists(v.col, lambda x: type_test(V(x, v.type.elementType), name)))
     if name == "null":
         return v.col.isNull()
     held = v.col.isNotNull()
     if v.is_number:
         whole = held if v.is_integer else held & (v.col == F.floor(v.col))
-        return {"number": held, "int": _closed(whole), "double": _closed(held & ~whole)}.get(name, _no())
+        return {"number": held, "int": (whole), "double": (held & ~whole)}.get(name, _no())
     kind = {"string": v.is_string, "bool": v.is_bool, "date": v.is_date, "object": v.is_struct or v.is_map, "binData": isinstance(v.type, T.BinaryType)}
     if name == "objectId" and v.is_string:
-        return _closed(F.rlike(v.col, F.lit("^[0-9a-f]{24}$")))
+        return (F.rlike(v.col, F.lit("^[0-9a-f]{24}$")))
     return held if kind.get(name) else _no()
 
 
@@ -143,7 +150,7 @@ def _mask(value: Any) -> int:
 def _bits(v: V, op: str, value: Any) -> Column:
     mask = _mask(value)
     if v.is_array:
-        return _closed(F.exists(v.col, lambda x: _bits(V(x, v.type.elementType), op, value)))
+        return (F.exists(v.col, lambda x: _bits(V(x, v.type.elementType), op, value)))
     if not v.is_number:
         return _no()
     held = v.cast(LONG).col.bitwiseAND(F.lit(mask).cast(LONG))
@@ -151,7 +158,7 @@ def _bits(v: V, op: str, value: Any) -> Column:
         "$bitsAllSet": held == mask, "$bitsAllClear": held == 0, "$bitsAnySet": held != 0, "$bitsAnyClear": held != mask,
     }[op]
     whole = _yes() if v.is_integer else v.col == F.floor(v.col)
-    return _closed(test & whole)
+    return (test & whole)
 
 
 def _mod(v: V, value: Any) -> Column:
@@ -163,7 +170,15 @@ def _mod(v: V, value: Any) -> Column:
     if not v.is_number:
         return _no()
     x = F.when(v.cast(DOUBLE).col < 0, F.ceil(v.col)).otherwise(F.floor(v.col)).cast(LONG)
-    return _closed(x % divisor == rest)
+    return (x % divisor == rest)
+
+
+def _unequal(v: V, value: Any) -> Column:
+    plain = not v.missing and not v.is_array and not v.is_struct and not v.is_null
+    if plain and isinstance(value, (str, int, float, bool)) and comparable(v, literal(value)):
+        x, y = compared(v, literal(value))
+        return (x != y) | x.isNull()
+    return negated(equals(v, value))
 
 
 def _elem_match(v: V, cond: dict, scope: Scope) -> Column:
@@ -179,7 +194,7 @@ def _elem_match(v: V, cond: dict, scope: Scope) -> Column:
         inner = Scope(element, scope.variables, scope.now, V(x, element), scope.order)
         return compile_filter(cond, inner)
 
-    return _closed(F.exists(v.col, test))
+    return (F.exists(v.col, test))
 
 
 def _all(v: V, value: Any, scope: Scope) -> Column:
@@ -199,7 +214,7 @@ def _in(v: V, value: Any, op: str) -> Column:
         if not v.is_array:
             same = [x for x in plain if rank_of(literal(x).type) == rank_of(v.type)]
             if same and not any(isinstance(x, (dt.datetime, dt.date)) for x in same):
-                tests.append(_closed(v.col.isin(*same)))
+                tests.append((v.col.isin(*same)))
             else:
                 tests += [equals(v, x) for x in same]
         else:
@@ -221,13 +236,13 @@ def field_test(v: V, parts: list[str], cond: Any, scope: Scope) -> Column:
         if op == "$eq":
             out.append(reach(lambda x, value=value: equals(x, value)))
         elif op == "$ne":
-            out.append(reach(lambda x, value=value: ~equals(x, value)))
+            out.append(reach(lambda x, value=value: _unequal(x, value)))
         elif op in ("$gt", "$gte", "$lt", "$lte"):
             out.append(reach(lambda x, op=op, value=value: _ordered(x, op, value)))
         elif op == "$in":
             out.append(reach(lambda x, value=value: _in(x, value, "$in")))
         elif op == "$nin":
-            out.append(reach(lambda x, value=value: ~_in(x, value, "$nin")))
+            out.append(reach(lambda x, value=value: negated(_in(x, value, "$nin"))))
         elif op == "$exists":
             there = reach(lambda x: _no() if x.missing else (_yes() if not parts else x.col.isNotNull()))
             out.append(there if value else ~there)
@@ -235,11 +250,11 @@ def field_test(v: V, parts: list[str], cond: Any, scope: Scope) -> Column:
             if not isinstance(value, re.Pattern) and not _is_operators(value):
                 raise DocError("$not needs a regex or a document of operators")
             inner = field_test(v, parts, value, scope) if not isinstance(value, re.Pattern) else reach(lambda x, value=value: equals(x, value))
-            out.append(~inner)
+            out.append(negated(inner))
         elif op == "$size":
             if not isinstance(value, int) or isinstance(value, bool) or value < 0:
                 raise DocError("$size needs a non-negative integer")
-            out.append(reach(lambda x, value=value: _closed(F.size(x.col) == value) if x.is_array else _no()))
+            out.append(reach(lambda x, value=value: (F.size(x.col) == value) if x.is_array else _no()))
         elif op == "$all":
             out.append(reach(lambda x, value=value: _all(x, value, scope)))
         elif op == "$elemMatch":
@@ -282,7 +297,7 @@ def compile_filter(spec: dict, scope: Scope) -> Column:
             if not isinstance(cond, (list, tuple)) or not cond:
                 raise DocError(f"{key} must be a nonempty array")
             parts = [compile_filter(c, scope) for c in cond]
-            out.append(all_of(parts) if key == "$and" else any_of(parts) if key == "$or" else ~any_of(parts))
+            out.append(all_of(parts) if key == "$and" else any_of(parts) if key == "$or" else negated(any_of(parts)))
         elif key == "$expr":
             out.append(truthy(compile_expr(cond, scope), True))
         elif key == "$comment":

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..errors import DocError, TypeMismatch
 from ..functions.arrays import sorted_by
 from ..functions.core import LONG, Scope, V, common_type, get_field, less, literal, missing, number, struct_of
-from .match import _is_operators, compile_filter, equals, field_test
+from .match import _is_operators, compile_filter, equals, field_test, negated
 from .projection import put, without
 
 #: Operators in the order in which they are applied, whatever their order in the document.
@@ -232,7 +232,7 @@ class Updater:
             n = F.greatest(F.size(old.col) - 1, F.lit(0))
             return V(F.slice(old.col, F.lit(1 if value == 1 else 2), n), old.type)
         if op == "$pullAll":
-            return V(F.filter(old.col, lambda x: ~_any([equals(V(x, element), y) for y in value])), old.type)
+            return V(F.filter(old.col, lambda x: negated(_any([equals(V(x, element), y) for y in value]))), old.type)
 
         def gone(x: Column) -> Column:
             v = V(x, element)
@@ -240,7 +240,7 @@ class Updater:
                 return compile_filter(value, Scope(element, {}, self.now, v, []))
             return field_test(v, [], value, self.scope)
 
-        return V(F.filter(old.col, lambda x: ~gone(x)), old.type)
+        return V(F.filter(old.col, lambda x: negated(gone(x))), old.type)
 
 
 def _any(parts: list[Column]) -> Column:

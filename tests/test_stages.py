@@ -133,6 +133,24 @@ def test_plans(spark, small):
     assert "LeftSemi" in plan("customer", [look, {"$match": {"os": {"$ne": []}}}, {"$project": {"c_custkey": 1}}])
 
 
+def test_filters_reach_the_scan(spark, small):
+    from docpipe import Engine
+
+    db = Engine(spark).from_parquet(small)
+
+    def pushed(filter):
+        df = db.lineitem.aggregate([{"$match": filter}, {"$project": {"l_orderkey": 1, "l_quantity": 1}}]).to_df()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "l_comment" not in plan.split("ReadSchema")[1]
+        return plan.split("PushedFilters: [")[1].split("]")[0]
+
+    assert "GreaterThan(l_quantity,10.0)" in pushed({"l_quantity": {"$gt": 10}})
+    assert "LessThan(l_quantity,3.0)" in pushed({"l_quantity": {"$lt": 3}})
+    assert "EqualTo(l_returnflag,R)" in pushed({"l_returnflag": "R"})
+    assert "In(l_linenumber, [1,3" in pushed({"l_linenumber": {"$in": [1, 3]}})
+    assert "Not(EqualTo(l_returnflag,R))" in pushed({"l_returnflag": {"$ne": "R"}})
+
+
 def test_geometry(docs):
     from docpipe.operators.geo import geometries_meet
 
