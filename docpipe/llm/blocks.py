@@ -85,6 +85,11 @@ def by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield now, held
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the smallest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max()))) if len(values) else values
+
+
 def write_arrays(uri: str, arrays: list[np.ndarray]) -> None:
     """A file of arrays behind a JSON header, put in place whole by a rename."""
     from pyarrow import fs

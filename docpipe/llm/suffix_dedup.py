@@ -1,8 +1,8 @@
 """Removal of repeated byte strings by a distributed difference-cover suffix sort.
 
-1. Every text is cut into phrases at content-defined places: the minima of an
-   8-byte hash over 48 neighbouring places.  Two occurrences of one string of
-   ``LENGTH`` = 200 bytes are cut alike in their inner 98 bytes, which hold a
+1. Every text is cut into phrases at content-defined places: the minima of a
+   4-byte hash over 48 neighbouring places.  Two occurrences of one string of
+   ``LENGTH`` = 200 bytes are cut alike in their inner 102 bytes, which hold a
    whole phrase at least, so a phrase that the corpus has once lies in no
    repeated string.
 2. Runs of repeated phrases are gathered, equal runs once.  The suffixes of
@@ -10,7 +10,7 @@
    triples at sampled places are sorted and named, the names are sorted by
    recursion, and the remaining suffixes are merged in by (phrase, rank of the
    next suffix).  The recursion ends once names reach beyond any string of 248
-   bytes.  Adjacent suffixes are compared, which gives each phrase the longest
+   bytes, or at ``DEPTH`` levels.  Adjacent suffixes are compared, which gives each phrase the longest
    match that starts with it.
 3. A match decides most strings of 200 bytes: within it they are repeated, and
    strings whose inner phrases no match covers are not.  What is left, strings
@@ -28,21 +28,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import (
-    BLOCK, U, block_rows, by_segment, merged, mix, over_segments, owned, pack, read_arrays, unpack, write_arrays,
+    BLOCK, U, block_rows, by_segment, merged, mix, narrow, over_segments, owned, pack, read_arrays, remove, unpack, write_arrays,
 )
 from .common import arrow_map, scratch_path, spans_of_equal, utf8_values
 
 LENGTH = 200
-GRAM = 8
+GRAM = 4
 SPREAD = 48
 #: Text bytes for each segment, and keys that a task holds before passing them on.
 SEGMENT_BYTES = 16 << 20
+RUN_SEGMENT_BYTES = 48 << 20
+#: Levels of the recursion at most: ranks tell apart 3 to this power phrases.
+DEPTH = 4
 HELD = 2_000_000
 _CHUNK = 1 << 20
+_CUT = 60_000
+_LATER = np.arange(0xFFFF, -1, -1, dtype=np.uint32)
 _REACH = 2 * LENGTH + SPREAD
 _B1, _B2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -84,23 +90,24 @@ def cut_places(text: np.ndarray) -> np.ndarray:
     """Content-defined places: the last minimum of each ``SPREAD`` gram hashes."""
     n = len(text) - GRAM + 1
     found = []
-    for lo in range(0, max(1, n - SPREAD + 1), _CHUNK):
-        part = text[lo : lo + _CHUNK + SPREAD + GRAM - 2]
-        g = part.astype(U)
-        for width in (1, 2, 4):
-            g = g[:-width] << U(8 * width) | g[width:]
-        size = len(g)
-        g *= U(0x9E3779B97F4A7C15)
-        g ^= g >> U(32)
-        g *= U(0xD6E8FEB86659FD93)
-        key = (g & U(0xFFFFFFFF00000000)) | (U(0xFFFFFFFF) - np.arange(size, dtype=U))
-        low = key
-        for width in (1, 2, 4, 8, 16):
+    for lo in range(0, max(1, n - SPREAD + 1), _CUT):
+        g = text[lo : lo + _CUT + SPREAD + GRAM - 2].astype(np.uint32)
+        g = g[:-1] << np.uint32(8) | g[1:]
+        g = g[:-2] << np.uint32(16) | g[2:]
+        g *= np.uint32(0x9E3779B1)
+        g ^= g >> np.uint32(15)
+        g *= np.uint32(0x85EBCA77)
+        # Sixteen bits of hash, then the place, later ones being smaller.
+        low = g & np.uint32(0xFFFF0000) | _LATER[: len(g)]
+        for width in (1, 2, 4, 8, 16, 16):
             low = np.minimum(low[:-width], low[width:])
-        low = np.minimum(low[:-16], low[16:])
         change = np.append(True, low[1:] != low[:-1])
-        found.append((U(0xFFFFFFFF) - (low[change] & U(0xFFFFFFFF))).astype(np.int64) + lo)
-    return np.unique(np.concatenate(found))
+        found.append((0xFFFF - (low[change] & np.uint32(0xFFFF))).astype(np.int64) + lo)
+    return found[0][_rising(found[0])] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def _rising(places: np.ndarray) -> np.ndarray:
+    return np.append(True, places[1:] > places[:-1])
 
 
 class Phrases:
@@ -108,31 +115,52 @@ class Phrases:
 
     def __init__(self, raw: bytes):
         self.text = np.frombuffer(raw, np.uint8)
+        self.hash = xxhash.xxh64_intdigest(raw)
         self.places = cut_places(self.text)
         n = len(self.text)
         edges = self.places
         if edges[0] != 0:
             edges = np.append(0, edges)
         self.edges = np.append(edges, n)
-        self.names = substring_hashes(self.text, self.edges[:-1], self.edges[1:]) | U(1)
+        h, at = xxhash.xxh64_intdigest, self.edges.tolist()
+        # 0 stands between runs, so no name may be 0.
+        self.names = np.fromiter((h(raw[s:e]) for s, e in zip(at, at[1:])), U, len(at) - 1) | U(1)
 
     def runs(self, repeated: np.ndarray) -> list[tuple[int, int]]:
-        """Ranges of phrases that are repeated and stand side by side."""
+        """Ranges of phrases that are repeated and stand side by side.
+
+        A run matters only if it can hold all inner places of some string: from
+        the place before it to the place after it, more than the inner bytes of
+        a string must fit.  Short phrases that are repeated by chance fall out.
+        """
         step = np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]]))
-        return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
+        lo, hi = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        first_place = 0 if self.edges[0] == self.places[0] else 1
+        before = np.where(lo - 1 >= first_place, self.edges[np.maximum(lo - 1, 0)], -LENGTH)
+        last_place = len(self.edges) - 2
+        after = np.where(hi + 1 <= last_place, self.edges[np.minimum(hi + 1, last_place)], len(self.text) + LENGTH)
+        fits = after - before >= LENGTH - GRAM - SPREAD - (SPREAD - 1) + 2
+        return list(zip(lo[fits].tolist(), hi[fits].tolist()))
 
     def verdicts(self, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each start of a string: surely repeated, and still undecided.
 
         ``reach``: for each phrase the end of its longest match, or its start.
         """
-        starts = np.arange(len(self.text) - LENGTH + 1)
-        phrase = np.searchsorted(self.edges, starts, side="right") - 1
+        n = len(self.text)
+        starts = np.arange(n - LENGTH + 1)
+        phrase = np.repeat(np.arange(len(self.names)), np.diff(self.edges))[: len(starts)]
         yes = np.maximum.accumulate(reach)[phrase] >= starts + LENGTH
-        first = np.searchsorted(self.places, starts + SPREAD - 1)
-        last = np.searchsorted(self.places, starts + LENGTH - GRAM - SPREAD, side="right") - 1
+        # Of the inner places of each string, the first and the last.
+        before = np.zeros(n + 1, np.int64)
+        before[self.places + 1] = 1
+        before = np.cumsum(before)
+        first = before[SPREAD - 1 : SPREAD - 1 + len(starts)]
+        last = before[LENGTH - GRAM - SPREAD + 1 :][: len(starts)] - 1
         offset = 1 if self.edges[0] != self.places[0] else 0
         possible = reach[np.minimum(first, len(self.places) - 1) + offset] >= self.places[last]
+        # More phrases than the ranks tell apart: left to the fingerprints.
+        possible |= last - first > 3**DEPTH - 2
         return yes, possible & ~yes
 
 
@@ -178,37 +206,59 @@ class Counter:
 class Keys:
     """Sorted keys in files by range; ``at`` looks many of them up."""
 
-    def __init__(self, folder: str, kind: str, segments: int):
-        self.folder, self.kind, self.segments = folder, kind, segments
+    def __init__(self, folder: str, kind: str, segments: int, key: int = 0, screen: int | None = None):
+        self.folder, self.kind, self.segments, self.key, self.screen = folder, kind, segments, key, screen
         self.open: dict[int, list[np.ndarray]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"open": {}}
 
+    def path(self, k: int) -> str:
+        return f"{self.folder}/{self.kind}/{k:06d}"
+
     def file(self, k: int) -> list[np.ndarray]:
         if k not in self.open:
-            self.open[k] = read_arrays(f"{self.folder}/{self.kind}-{k:06d}")
+            self.open[k] = read_arrays(self.path(k))
         return self.open[k]
 
     def at(self, keys: np.ndarray, *columns: int) -> list[np.ndarray]:
         """Whether each key is held, then the wanted columns of its entry, else 0."""
-        order = np.argsort(keys)
-        ordered = keys[order]
+        segment = range_of(keys, self.segments)
+        small = segment.astype(np.uint16) if self.segments < 1 << 16 else segment
+        order = np.argsort(small, kind="stable")
         held = np.zeros(len(keys), bool)
         out = [np.zeros(len(keys), np.int64) for _ in columns]
-        for k, lo, hi in by_range(range_of(ordered, self.segments)):
+        for k, lo, hi in by_range(small[order]):
             arrays = self.file(k)
-            if not len(arrays[0]):
+            known = arrays[self.key]
+            if not len(known):
                 continue
-            place = np.minimum(np.searchsorted(arrays[0], ordered[lo:hi]), len(arrays[0]) - 1)
-            same = arrays[0][place] == ordered[lo:hi]
-            rows = order[lo:hi][same]
+            rows = order[lo:hi]
+            if self.screen is not None:
+                rows = rows[screened(arrays[self.screen], keys[rows])]
+            wanted = keys[rows]
+            place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            same = known[place] == wanted
+            rows = rows[same]
             held[rows] = True
             for values, c in zip(out, columns):
                 values[rows] = arrays[c][place[same]]
         return [held, *out]
 
 
+def screen_of(keys: np.ndarray) -> np.ndarray:
+    """A bitmap of 16 bits for each key, set where a key falls."""
+    size = 1 << max(6, int(16 * len(keys)).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(mix(keys) & U(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def screened(screen: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = mix(keys) & U(8 * len(screen) - 1)
+    return (screen[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
+
+
 def _write_owned(blocks: DataFrame, segments: int, keys: Keys, merge: Callable[[list[tuple[str, bytes]]], tuple[list[np.ndarray], list[int]]]) -> list[list[int]]:
     """Merge and write each segment's blocks; the totals of every segment."""
 
@@ -216,7 +266,7 @@ def _write_owned(blocks: DataFrame, segments: int, keys: Keys, merge: Callable[[
         out = []
         for k, held in by_segment(batches):
             arrays, totals = merge(held)
-            write_arrays(f"{keys.folder}/{keys.kind}-{k:06d}", arrays)
+            write_arrays(keys.path(k), arrays)
             out.append((k, totals))
         ks, totals = zip(*out) if out else ([], [])
         yield pa.record_batch([pa.array(ks, pa.int32()), pa.array(totals, pa.list_(pa.int64()))], ["segment", "totals"])
@@ -225,7 +275,7 @@ def _write_owned(blocks: DataFrame, segments: int, keys: Keys, merge: Callable[[
     got = {r[0]: list(r[1]) for r in owned(blocks, segments).mapInArrow(run, "segment int, totals array<long>").collect()}
     empty, none = merge([])
     for k in set(range(segments)) - got.keys():
-        write_arrays(f"{keys.folder}/{keys.kind}-{k:06d}", empty)
+        write_arrays(keys.path(k), empty)
         got[k] = none
     return [got[k] for k in range(segments)]
 
@@ -258,10 +308,10 @@ class SuffixSort:
         return self.__dict__ | {"spark": None}  # tasks read files alone
 
     def symbols(self, level: int, k: int) -> np.ndarray:
-        return read_arrays(f"{self.folder}/level{level}-{k:06d}")[0]
+        return (read_arrays(f"{self.folder}/level{level}/{k:06d}")[0] if level else read_arrays(f"{self.folder}/runs/{k:06d}")[5]).astype(U)
 
     def ranks(self, level: int, k: int) -> np.ndarray:
-        return read_arrays(f"{self.folder}/rank{level}-{k:06d}")[0].astype(np.int64)
+        return read_arrays(f"{self.folder}/rank{level}/{k:06d}")[0].astype(np.int64)
 
     def order(self, name: str, top: int, emit: Callable[[int], tuple[list[np.ndarray], np.ndarray]]) -> Callable:
         """Sort the distinct keys of all segments.
@@ -300,7 +350,7 @@ class SuffixSort:
             below = [np.cumsum(c) - c for c in counts]
             hashed = self.key_hash([c[cuts] for c in cols[:width]])
             by = np.argsort(hashed)
-            return [hashed[by], below[0][by], below[1][by], by], [int(counts[0].sum()), int(counts[1].sum()), len(cuts)]
+            return [hashed[by], *(narrow(c[by]) for c in below), narrow(by)], [int(counts[0].sum()), int(counts[1].sum()), len(cuts)]
 
         keys = Keys(folder, name, segments)
         totals = _write_owned(over_segments(self.spark, segments, send, BLOCK, ["kind", "segment", "block"]), segments, keys, merge)
@@ -316,7 +366,7 @@ class SuffixSort:
                 arrays, rows = keys.file(k), order[lo:hi]
                 place = np.searchsorted(arrays[0], hashed[rows])
                 for i in range(3):
-                    out[i][rows] = arrays[i + 1][place] + base[k][i]
+                    out[i][rows] = arrays[i + 1][place].astype(np.int64) + base[k][i]
             return out
 
         lookup.total = int(base[-1][2])
@@ -341,12 +391,13 @@ class SuffixSort:
         read = lambda k: self.symbols(level, k) if k >= 0 else np.zeros(3, U)
 
         def put(k: int, rank: np.ndarray) -> list:
-            write_arrays(f"{self.folder}/rank{level}-{k:06d}", [rank.astype(np.int64)])
+            write_arrays(f"{self.folder}/rank{level}/{k:06d}", [narrow(rank)])
             return [(k,)]
 
         if level == self.depth:
             plain = self.order(f"base{level}", top, lambda k: ([read(k)], np.zeros(len(read(k)), bool)))
             self.each(lambda k: put(k, plain([read(k)])[0]))
+            self.forget(f"base{level}")
             return
 
         def triples(k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -360,11 +411,13 @@ class SuffixSort:
             cols, _, at = triples(k)
             names = named(cols)[2].astype(U) + U(1)
             ones = len(range(1, len(read(k)), 3))
-            write_arrays(f"{self.folder}/level{level + 1}-{k:06d}", [np.concatenate([names[:ones], [U(0)], names[ones:]])])
+            write_arrays(f"{self.folder}/level{level + 1}/{k:06d}", [narrow(np.concatenate([names[:ones], [U(0)], names[ones:]]))])
             return [(k,)]
 
         self.each(name)
+        self.forget(f"names{level}")
         self.run(level + 1, named.total + 2)
+        self.forget(f"level{level + 1}")
         segments = self.segments
 
         def sampled(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -404,6 +457,12 @@ class SuffixSort:
             return put(k, rank)
 
         self.each(settle)
+        self.forget(f"rank{level + 1}", f"one{level}", f"two{level}")
+
+    def forget(self, *kinds: str) -> None:
+        """Delete what later steps do not read; their inputs are files too."""
+        for kind in kinds:
+            remove(f"{self.folder}/{kind}")
 
     def each(self, fn: Callable[[int], list]) -> None:
         over_segments(self.spark, self.segments, fn, "id long", ["id"]).count()
@@ -418,14 +477,17 @@ class RepeatedSpans:
         size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
         self.segments = max(1, -(-size // SEGMENT_BYTES))
         self.folder = scratch_path(self.spark, "suffixes")
+        self.run_segments = max(1, -(-size // RUN_SEGMENT_BYTES))
         self.names = Keys(self.folder, "names", self.segments)
-        self.starts = Keys(self.folder, "runs", self.segments)
+        self.starts = Keys(self.folder, "runs", self.run_segments)
+        self.touched = Keys(self.folder, "runs", self.run_segments, key=7)
         self.open = Keys(self.folder, "open", self.segments)
         self.hits = Keys(self.folder, "hits", self.segments)
         self._count_phrases()
         depth = self._gather_runs()
-        SuffixSort(self.spark, self.folder, self.segments, depth).run()
+        SuffixSort(self.spark, self.folder, self.run_segments, depth).run()
         self._compare_adjacent()
+        remove(f"{self.folder}/rank0")
         self._settle_open()
 
     def __getstate__(self):
@@ -449,7 +511,7 @@ class RepeatedSpans:
 
     def _gather_runs(self) -> int:
         """Equal runs once, in files by run hash; returns the depth of the recursion."""
-        segments, names = self.segments, self.names
+        segments, names = self.run_segments, self.names
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: dict[tuple[int, int], list] = {}
@@ -469,15 +531,19 @@ class RepeatedSpans:
 
             pending: list[Phrases] = []
             size = 0
+            touched = Counter("text", segments)
 
-            def take() -> None:
+            def take() -> Iterator[pa.RecordBatch]:
                 nonlocal held
                 repeated = names.at(np.concatenate([p.names for p in pending]))[0] if pending else np.zeros(0, bool)
                 at = 0
                 for p in pending:
                     mine = repeated[at : at + len(p.names)]
                     at += len(p.names)
-                    for lo, hi in p.runs(mine) if mine.any() else ():
+                    runs = p.runs(mine) if mine.any() else []
+                    if runs:
+                        yield from touched.add(np.array([p.hash], U))
+                    for lo, hi in runs:
                         key = run_hash(p.names[lo:hi])
                         if key in found:
                             found[key][0] += 1
@@ -491,13 +557,14 @@ class RepeatedSpans:
                 pending.append(Phrases(text))
                 size += length
                 if size > 4 << 20:
-                    take()
+                    yield from take()
                     pending, size = [], 0
                     if held > HELD:
                         yield release()
                         found, held = {}, 0
-            take()
+            yield from take()
             yield release()
+            yield touched.release()
 
         folder = self.folder
 
@@ -520,30 +587,24 @@ class RepeatedSpans:
             ends = np.concatenate([[0], np.cumsum(widths)])
             # The most phrases that LENGTH + SPREAD bytes can take part in.
             most = int((np.searchsorted(ends, ends[:-1] + LENGTH + SPREAD) - np.arange(len(widths))).max(initial=1)) + 2
-            return [h1[keep], h2[keep], times, place, length, symbols, widths], [most, int(length.sum())]
+            texts = merged([unpack(b, 2)[0] for kind, b in held if kind == "text"])[0]
+            return [h1[keep], h2[keep], times, place, length, symbols, narrow(widths), texts], [most, int(length.sum())]
 
         blocks = arrow_map(self.docs, ["text"], run, BLOCK)
         totals = _write_owned(blocks, segments, self.starts, merge)
         depth, covered = 0, 1
-        while covered < max(t[0] for t in totals):
+        while covered < max(t[0] for t in totals) and depth < DEPTH:
             depth, covered = depth + 1, covered * 3
-        starts = self.starts
-
-        def copy(k: int) -> list:
-            write_arrays(f"{folder}/level0-{k:06d}", [starts.file(k)[5]])
-            return [(k,)]
-
-        over_segments(self.spark, segments, copy, "id long", ["id"]).count()
         return depth
 
     def _compare_adjacent(self) -> None:
         """For each phrase of each run, the bytes of the longest match from it."""
-        folder, segments, starts = self.folder, self.segments, self.starts
+        folder, segments, starts = self.folder, self.run_segments, self.starts
 
         def send(k: int) -> list:
             arrays = starts.file(k)
             x = arrays[5]
-            rank = read_arrays(f"{folder}/rank0-{k:06d}")[0]
+            rank = read_arrays(f"{folder}/rank0/{k:06d}")[0]
             at = np.flatnonzero(x)
             at = at[np.argsort(x[at], kind="stable")]
             return [
@@ -566,16 +627,16 @@ class RepeatedSpans:
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             files, done = Keys(folder, "runs", segments), []
             for k, held in by_segment(batches):
-                _, _, times, place, length, symbols, widths = files.file(k)
+                _, _, times, place, length, symbols, widths, _ = files.file(k)
                 match = np.zeros(len(symbols), np.int64)
                 for _, b in held:
                     at, best = unpack(b, 2)
                     match[at.astype(np.int64)] = best.astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum(widths)])
+                ends = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
                 # A run found twice as a whole matches to its end.
                 twice = np.repeat(times > 1, length + 1)
                 whole = np.repeat(ends[place + length], length + 1) - ends[:-1]
-                write_arrays(f"{folder}/match-{k:06d}", [np.where(twice, whole, match)])
+                write_arrays(f"{folder}/match/{k:06d}", [narrow(np.where(twice, whole, match))])
                 done.append(k)
             yield pa.record_batch([pa.array(done, pa.int32())], ["segment"])
 
@@ -583,11 +644,11 @@ class RepeatedSpans:
         blocks = ranks.mapInArrow(compare, BLOCK)
         done = {r[0] for r in owned(blocks, segments).mapInArrow(collect, "segment int").collect()}
         for k in set(range(segments)) - done:
-            write_arrays(f"{folder}/match-{k:06d}", [np.zeros(0, np.int64)])
+            write_arrays(f"{folder}/match/{k:06d}", [np.zeros(0, np.int64)])
 
     def reader(self) -> Callable[[list[Phrases]], list[np.ndarray | None]]:
         """For texts: the end of the longest match of each phrase, None without any."""
-        names, starts, matches = self.names, self.starts, Keys(self.folder, "match", self.segments)
+        names, starts, matches = self.names, self.starts, Keys(self.folder, "match", self.run_segments)
 
         def read(texts: list[Phrases]) -> list[np.ndarray | None]:
             repeated = names.at(np.concatenate([p.names for p in texts]))[0] if texts else np.zeros(0, bool)
@@ -597,11 +658,12 @@ class RepeatedSpans:
             for i, p in enumerate(texts):
                 mine = repeated[at : at + len(p.names)]
                 at += len(p.names)
-                out.append(p.edges[:-1].copy() if mine.any() else None)
-                wanted += [(i, lo, hi, run_hash(p.names[lo:hi])) for lo, hi in p.runs(mine)] if mine.any() else []
+                runs = p.runs(mine) if mine.any() else []
+                out.append(p.edges[:-1].copy() if runs else None)
+                wanted += [(i, lo, hi, run_hash(p.names[lo:hi])) for lo, hi in runs]
             if wanted:
                 h1 = np.array([w[3][0] for w in wanted], U)
-                segment = range_of(h1, names.segments)
+                segment = range_of(h1, starts.segments)
                 for (i, lo, hi, key), k in zip(wanted, segment.tolist()):
                     arrays = starts.file(k)
                     j = int(np.searchsorted(arrays[0], U(key[0])))
@@ -615,42 +677,38 @@ class RepeatedSpans:
 
     def _settle_open(self) -> None:
         """Compare undecided strings with each other, then with the decided ones."""
-        read, segments = self.reader(), self.segments
+        read, segments, touched = self.reader(), self.segments, self.touched
+
+        def blocks_of(kind: str, which: int, choose: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+            """Keys of the strings with the verdict ``which``, as ``choose`` leaves them."""
 
-        def blocks_of(kind: str, choose: Callable[[Phrases, np.ndarray], np.ndarray]) -> DataFrame:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counter = Counter(kind, segments)
-                for texts in _groups(batches, 0):
-                    for p, reach in zip(texts, read(texts)):
-                        if reach is not None and len(keys := choose(p, reach)):
-                            yield from counter.add(*np.unique(keys, return_counts=True))
+                for texts in _groups(batches, 0, touched):
+                    found = [_keys_of(p, p.verdicts(r)[which]) for p, r in zip(texts, read(texts)) if r is not None]
+                    if found and len(keys := choose(np.concatenate(found))):
+                        yield from counter.add(keys)
                 yield counter.release()
 
             return arrow_map(self.docs, ["text"], run, BLOCK)
 
-        def undecided(p: Phrases, reach: np.ndarray) -> np.ndarray:
-            starts = np.flatnonzero(p.verdicts(reach)[1])
-            return substring_hashes(p.text, starts, starts + LENGTH)
-
         def merge(held: list[tuple[str, bytes]]) -> tuple[list[np.ndarray], list[int]]:
             parts = [unpack(b, 2) for _, b in held]
             keys, counts = merged([p[0] for p in parts], [p[1].astype(np.int64) for p in parts])
-            return [keys, np.minimum(counts, 2).astype(np.uint8)], [int((counts == 1).sum())]
+            return [keys, np.minimum(counts, 2).astype(np.uint8), screen_of(keys[counts == 1])], [int((counts == 1).sum())]
 
-        single = sum(t[0] for t in _write_owned(blocks_of("open", undecided), segments, self.open, merge))
-        once = self.open
+        single = sum(t[0] for t in _write_owned(blocks_of("open", 1, lambda keys: keys), segments, self.open, merge))
+        once = Keys(self.folder, "open", segments, screen=2)
 
-        def decided(p: Phrases, reach: np.ndarray) -> np.ndarray:
-            starts = np.flatnonzero(p.verdicts(reach)[0])
-            keys = substring_hashes(p.text, starts, starts + LENGTH)
+        def seen_once(keys: np.ndarray) -> np.ndarray:
             held, times = once.at(keys, 1)
-            return keys[held & (times == 1)]
+            return np.unique(keys[held & (times == 1)])
 
         def merge_hits(held: list[tuple[str, bytes]]) -> tuple[list[np.ndarray], list[int]]:
             parts = [unpack(b, 2) for _, b in held]
             return [merged([p[0] for p in parts])[0]], [0]
 
-        blocks = blocks_of("hits", decided) if single else self.spark.createDataFrame([], BLOCK)
+        blocks = blocks_of("hits", 0, seen_once) if single else self.spark.createDataFrame([], BLOCK)
         _write_owned(blocks, segments, self.hits, merge_hits)
 
     def covered(self) -> Callable[[list[Phrases]], list[np.ndarray | None]]:
@@ -658,40 +716,43 @@ class RepeatedSpans:
         read, once, hits = self.reader(), self.open, self.hits
 
         def marks(texts: list[Phrases]) -> list[np.ndarray | None]:
+            verdicts = [p.verdicts(r) if r is not None else None for p, r in zip(texts, read(texts))]
+            keys = [_keys_of(p, v[1]) if v else np.zeros(0, U) for p, v in zip(texts, verdicts)]
+            together = np.concatenate(keys) if keys else np.zeros(0, U)
+            found = (once.at(together, 1)[1] > 1) | hits.at(together)[0]
             out: list[np.ndarray | None] = []
-            for p, reach in zip(texts, read(texts)):
-                if reach is None:
-                    out.append(None)
-                    continue
-                yes, maybe = p.verdicts(reach)
-                starts = np.flatnonzero(maybe)
-                if len(starts):
-                    keys = substring_hashes(p.text, starts, starts + LENGTH)
-                    found = (once.at(keys, 1)[1] > 1) | hits.at(keys)[0]
-                    yes[starts[found]] = True
-                if not yes.any():
+            at = 0
+            for p, v, own in zip(texts, verdicts, keys):
+                if v is None:
                     out.append(None)
                     continue
+                yes, maybe = v
+                yes[np.flatnonzero(maybe)[found[at : at + len(own)]]] = True
+                at += len(own)
                 change = np.zeros(len(p.text) + 1, np.int64)
-                at = np.flatnonzero(yes)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + LENGTH, -1)
-                out.append(np.cumsum(change[:-1]) > 0)
+                change[: len(yes)] += yes
+                change[LENGTH : LENGTH + len(yes)] -= yes
+                out.append(np.cumsum(change[:-1]) > 0 if yes.any() else None)
             return out
 
         return marks
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[Phrases]]:
-    texts, size = [], 0
-    for length, text in _long_texts(batches, column):
-        if length >= LENGTH:
-            texts.append(Phrases(text))
-            size += length
-            if size > 4 << 20:
-                yield texts
-                texts, size = [], 0
-    yield texts
+def _keys_of(p: Phrases, chosen: np.ndarray) -> np.ndarray:
+    starts = np.flatnonzero(chosen)
+    return substring_hashes(p.text, starts, starts + LENGTH)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], column: int, touched: Keys) -> Iterator[list[Phrases]]:
+    """Groups of the texts that hold a repeated phrase."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            texts = [t for t in utf8_values(batch.column(column).slice(lo, 512)) if len(t) >= LENGTH]
+            yield [Phrases(t) for t, held in zip(texts, _touched(texts, touched)) if held]
+
+
+def _touched(texts: list[bytes], touched: Keys) -> np.ndarray:
+    return touched.at(np.fromiter(map(xxhash.xxh64_intdigest, texts), U, len(texts)))[0]
 
 
 def _common_bytes(files: Keys, seg: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -730,39 +791,65 @@ def _digest_row(raw: bytes, mark: np.ndarray | None) -> tuple[int, int, int, str
     return len(raw), int(mark.sum()), spans, hashlib.sha256(kept).hexdigest(), kept
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def _marked(raw: list[bytes], touched: Keys, marks: Callable[[list[Phrases]], list[np.ndarray | None]]) -> list[np.ndarray | None]:
+    """For each text which of its bytes go, a few MB of texts at a time."""
+    found: list[np.ndarray | None] = [None] * len(raw)
+    long = [i for i, t in enumerate(raw) if len(t) >= LENGTH]
+    group: list[int] = []
+    size = 0
+    for i, held in zip([*long, -1], [*_touched([raw[i] for i in long], touched), False]):
+        if held:
+            group.append(i)
+            size += len(raw[i])
+        if group and (size > 4 << 20 or i < 0):
+            for j, m in zip(group, marks([Phrases(raw[j]) for j in group])):
+                found[j] = m
+            group, size = [], 0
+    return found
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row.
 
-    With ``texts`` also ``kept binary``, the bytes that stay.  Every byte goes
-    that lies in a string of ``LENGTH`` bytes that also starts elsewhere, in the
-    same text or another.  A null text is empty; texts shorter than ``LENGTH``
-    keep all.  Null ids pass through; of repeated rows all copies lose what
-    they share.
+    Every byte goes that lies in a string of ``LENGTH`` bytes that also starts
+    elsewhere, in the same text or another.  A null text is empty; texts shorter
+    than ``LENGTH`` keep all.  Null ids pass through; repeated rows lose, in
+    every copy, what they share.
     """
-    marks = RepeatedSpans(docs, text_col).covered()
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts
-    types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * texts
+    spans = RepeatedSpans(docs, text_col)
+    marks, touched = spans.covered(), spans.touched
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    types = [pa.int64()] * 4 + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 raw = utf8_values(part.column(1))
-                found: list[np.ndarray | None] = [None] * len(raw)
-                group, size = [], 0
-                for i, t in enumerate(raw):
-                    if len(t) >= LENGTH:
-                        group.append(i)
-                        size += len(t)
-                    if group and (size > 4 << 20 or i == len(raw) - 1):
-                        for j, m in zip(group, marks([Phrases(raw[j]) for j in group])):
-                            found[j] = m
-                        group, size = [], 0
-                if group:
-                    for j, m in zip(group, marks([Phrases(raw[j]) for j in group])):
-                        found[j] = m
-                cols = list(zip(*map(_digest_row, raw, found)))
+                cols = list(zip(*(_digest_row(t, m)[:4] for t, m in zip(raw, _marked(raw, touched, marks)))))
                 yield pa.record_batch([part.column(0).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(cols, types[1:])]], names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return arrow_map(docs, [id_col, text_col], run, schema)
+    return arrow_map(docs, [id_col, text_col], run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def strip_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns and rows, with repeated bytes cut out of the texts.
+
+    A character of which a byte goes is cut whole.  Null texts stay null.
+    """
+    spans = RepeatedSpans(docs, text_col)
+    marks, touched = spans.covered(), spans.touched
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                null = part.column(place).is_null().to_pylist()
+                raw = utf8_values(part.column(place))
+                kept = [None if n else _digest_row(t, m)[4].decode("utf-8", "ignore") for n, t, m in zip(null, raw, _marked(raw, touched, marks))]
+                columns = list(part.columns)
+                columns[place] = pa.array(kept, pa.string())
+                yield pa.record_batch(columns, part.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

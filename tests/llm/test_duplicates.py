@@ -101,6 +101,7 @@ def covered(texts):
 @pytest.mark.parametrize("segment_bytes", [6_000, 1 << 30])
 def test_suffix_dedup(make, monkeypatch, segment_bytes):
     monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", segment_bytes)
+    monkeypatch.setattr(suffix_dedup, "RUN_SEGMENT_BYTES", 2 * segment_bytes)
     df = make()
     raw = [(r.doc_id, (r.text or "").encode()) for r in df.collect()]
     marks = covered([t for _, t in raw])
