@@ -38,9 +38,9 @@ SEGMENT_TOKENS = 4_000_000
 #: Tokens of a context for each segment that it is dealt over.
 CONTEXT_TOKENS = 250_000
 #: Bytes of text that a task looks at together.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20
 #: Distinct entries that a task holds before it passes them on.
-HELD = 6_000_000
+HELD = 2_000_000
 _STEP = 4000.0  # quantisation steps of a decimal order of magnitude
 _SHIFT = 12.0  # log10 of the largest discounted count that has a code
 _U = np.uint64
