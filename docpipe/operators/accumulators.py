@@ -130,11 +130,16 @@ class Windows:
         raise DocError("a window has documents or range")
 
 
-def _time(w: Windows, unit: str | None) -> Column:
+def _step(w: Windows, unit: str | None) -> Column:
+    """From the row before to this one, along the first sort key.
+
+    Dates are subtracted as whole milliseconds and divided after that, so that
+    short steps keep their digits.
+    """
     key, _, kind = w.first_key()
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return millis(key).cast(DOUBLE) / UNIT_MS[unit or "millisecond"]
-    return key.cast(DOUBLE)
+        return (millis(key) - F.lag(millis(key)).over(w.sorted)).cast(DOUBLE) / UNIT_MS[unit or "millisecond"]
+    return (key - F.lag(key).over(w.sorted)).cast(DOUBLE)
 
 
 def linear_fill(x: Column, w: Windows) -> Column:
@@ -196,8 +201,7 @@ def window_value(name: str, raw: Any, window: dict | None, w: Windows, scope: Sc
     if name in ("$derivative", "$integral"):
         named(raw, name, ("input",), ("unit",))
         x = _numeric(compile_expr(raw["input"], scope), name).col.cast(DOUBLE)
-        t = _time(w, raw.get("unit"))
-        dx, dt_ = x - F.lag(x).over(w.sorted), t - F.lag(t).over(w.sorted)
+        dx, dt_ = x - F.lag(x).over(w.sorted), _step(w, raw.get("unit"))
         if name == "$derivative":
             return V(dx / F.when(dt_ != 0, dt_), DOUBLE)
         area = F.coalesce((x + F.lag(x).over(w.sorted)) / 2 * dt_, F.lit(0.0))
