@@ -33,6 +33,13 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "doc_id long, item_id long, n_words long, n_covered long, n_tiles long, coverage double"
 
 
+def folded(text: bytes) -> list[bytes]:
+    """The words of a text with the case of all scripts folded; bytes that are no UTF-8 stay as they are."""
+    if not text.isascii():
+        text = text.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
+    return text.lower().split()
+
+
 def rolling(ids: np.ndarray, width: int) -> np.ndarray:
     """Karp-Rabin hashes, modulo 2^64, of all runs of ``width`` ids."""
     n = len(ids) - width + 1
@@ -102,7 +109,7 @@ class Block:
         self.items: list[tuple[int, np.ndarray]] = []
         seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
-            words = text.lower().split()
+            words = folded(text)
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
             number = len(self.items)
             self.items.append((item_id, ids))
@@ -116,7 +123,7 @@ class Block:
         if not len(self.hashes):
             return
         get = self.vocabulary.get
-        doc = np.array([get(w, 0) for w in text.lower().split()], np.int64)
+        doc = np.array([get(w, 0) for w in folded(text)], np.int64)
         m = self.min_match
         runs = _free_runs(doc == 0, m)
         if not len(runs):

@@ -191,3 +191,16 @@ def test_leaks(spark, make, bench, texts, block_bytes):
     kept = decontaminate.drop_leaked(make(rows), bench)
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 8, 900]
     assert decontaminate.leaks(make([]), bench).count() == 0
+
+
+def test_leaks_in_capitals_of_any_script(spark, make):
+    """Passages in capitals, with accents, a sharp s and a final sigma among them."""
+    passages = ["Où était passé l'été où nous avions mangé", "Größe und Straße müßten süß für Ärzte klingen", "Где живёт ёжик который любит яблоки", "ο δρόμος προς τον ουρανό είναι μακρύς τους"]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    docs = make([(i, "before it " + p.upper(), "xx", "s", 1) for i, p in enumerate(passages)])
+    found = decontaminate.leaks(docs, items).collect()
+    assert {(r.doc_id, r.item_id, r.coverage) for r in found} == {(i, i, 1.0) for i in range(len(passages))}
+
+
+def test_folding_keeps_bytes_that_are_no_text():
+    assert decontaminate.folded(b"\xff\xed\xa0\x80A \xc3\x89\xc2\xa0B") == [b"\xff\xed\xa0\x80a", b"\xc3\xa9\xc2\xa0b"]
