@@ -9,7 +9,9 @@ a partially aggregated count or sum: a group that holds a third of all rows
 costs its tasks no more than any other, and nothing is collected.
 
 Groups of fewer than ``MIN_GROUP`` rows are judged with the other small sources
-of their language; where those too are few, no row is an outlier.
+of their language, and where those are fewer than ``MIN_POOL``, with what other
+languages have left over.  Only if all that is left over in the whole input is
+fewer than ``MIN_POOL`` rows, no row of it is an outlier.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ ALPHA = 1e-9
 #: Smallest standard deviation that a transformed statistic is granted.
 FLOORS = (0.25, 0.05, 0.35, 0.15, 0.15)
 _P = len(FLOORS)
+#: Rows that an estimate over pooled groups needs, five for each dimension.
+MIN_POOL = 5 * _P
 _BINS_PER_UNIT = 128
 _BLANKS = " \t\n\x0b\x0c\r"
 _X = [f"x{i}" for i in range(_P)]
@@ -237,14 +241,16 @@ def judged(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_c
     """
     rows = stash(measured(docs, id_col, text_col), "statistics")
     sizes = rows.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    named = sizes.select(
-        "lang",
-        "source",
-        "n",
-        F.when(F.col("n") >= MIN_GROUP, F.struct("lang", "source")).otherwise(F.struct("lang", F.lit(None).cast("string").alias("source"))).alias("k"),
-    )
-    enough = named.groupBy("k").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_GROUP)
-    groups = stash(named.join(enough, "k").select("lang", "source", F.xxhash64("lang", "k.source").alias("g")), "groups")
+
+    def key(lang: Column, source: Column) -> Column:
+        return F.struct(lang.alias("lang"), source.alias("source"))
+
+    none = F.lit(None).cast("string")
+    named = sizes.withColumn("k", F.when(F.col("n") >= MIN_GROUP, key(F.col("lang"), F.col("source"))).otherwise(key(F.col("lang"), none)))
+    totals = named.groupBy("k").agg(F.sum("n").alias("total"))
+    pooled = named.join(totals, "k").withColumn("k", F.when(F.col("total") >= MIN_POOL, F.col("k")).otherwise(key(none, none))).drop("total")
+    enough = pooled.groupBy("k").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_POOL)
+    groups = stash(pooled.join(enough, "k").select("lang", "source", F.xxhash64("k.lang", "k.source").alias("g")), "groups")
     vectors = rows.join(groups, ["lang", "source"], "left").select(*rows.columns, "g", *[v.alias(x) for x, v in zip(_X, _vector())])
     sound = stash(vectors.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *_X), "vectors")
     found = vectors.join(estimates(sound), "g", "left")

@@ -160,6 +160,23 @@ def test_quality_outliers(spark):
     assert quality.judged(df.limit(0)).count() == 0
 
 
+def test_quality_of_small_languages(spark):
+    """A language under a hundred rows, and rare ones that only make a pool together."""
+    r = random.Random(10)
+    rows, noisy = [], set()
+    for lang, n in [("es", 60), *[(f"rare{k}", 8) for k in range(5)]]:
+        for i in range(n):
+            words = [r.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"]) + str(r.randrange(500)) for _ in range(r.randrange(60, 400))]
+            if i % 8 == 0:
+                words = [w + "$$$###" for w in words]
+                noisy.add(len(rows))
+            rows.append((len(rows), "\n".join(" ".join(words[j : j + 12]) for j in range(0, len(words), 12)), lang, f"s{i % 3}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.judged(df).collect()
+    assert {x.doc_id for x in got if not x.kept} == noisy
+    assert all(x.distance is not None for x in got)
+
+
 def test_quality_is_native(make):
     from docpipe.llm import common
 
