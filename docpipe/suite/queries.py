@@ -58,6 +58,7 @@ add("q_match_bits", "orders", [{"$match": {"o_orderkey": {"$bitsAllSet": 5, "$bi
 add("q_match_expr", "lineitem", [{"$match": {"$expr": {"$gt": [{"$multiply": ["$l_quantity", 1500]}, "$l_extendedprice"]}}}, keep(*_L)], _LSQL + "l_quantity * 1500 > l_extendedprice")
 add("q_match_type", "lineitem", [{"$match": {"l_discount": {"$type": "double"}, "l_returnflag": {"$type": "string"}}}, keep(*_L)], _LSQL + "l_discount <> floor(l_discount)")
 add("q_match_exists", "orders", [{"$match": {"o_orderkey": {"$exists": True}, "o_nothing": {"$exists": False}, "o_custkey": {"$lt": 50}}}, keep("o_orderkey")], "SELECT o_orderkey FROM orders WHERE o_custkey < 50")
+add("q_match_exists_whole", "orders", [{"$match": {"o_orderkey": {"$exists": True}, "o_nothing": {"$exists": False}}}, keep("o_orderkey")], "SELECT o_orderkey FROM orders")
 add("q_match_array", "embeddings", [{"$match": {"embedding": {"$size": 64, "$elemMatch": {"$gt": 0.3, "$lt": 0.31}}}}, keep("vec_id")], "SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x > 0.3 AND x < 0.31)) > 0")
 add("q_match_all", "part", [{"$addFields": {"words": {"$split": ["$p_type", " "]}}}, {"$match": {"words": {"$all": ["STEEL"]}}}, keep("p_partkey")], "SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'STEEL')")
 add("q_match_jsonschema", "orders", [{"$match": {"$jsonSchema": {"required": ["o_orderkey"], "properties": {"o_totalprice": {"bsonType": "number", "minimum": 1000, "maximum": 50000}, "o_orderstatus": {"enum": ["O", "P"]}, "o_orderpriority": {"type": "string", "pattern": "^[12]", "minLength": 3}}}}}, keep("o_orderkey")], "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_orderstatus IN ('O', 'P') AND regexp_matches(o_orderpriority, '^[12]')")
@@ -107,6 +108,7 @@ add("q_lookup_topn", "customer", [{"$lookup": {"from": "orders", "let": {"c": "$
 add("q_lookup_pipeline_group", "customer", [{"$lookup": {"from": "orders", "let": {"c": "$c_custkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$o_custkey", "$$c"]}, "o_orderstatus": "O"}}, {"$group": {"_id": None, "total": {"$sum": "$o_totalprice"}, "n": {"$sum": 1}}}], "as": "t"}}, {"$unwind": "$t"}, {"$project": {"_id": 0, "c_custkey": 1, "total": {"$round": ["$t.total", 2]}, "n": "$t.n"}}], "SELECT o_custkey AS c_custkey, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL")
 add("q_unionwith", "customer", [keep(name="$c_name", nation="$c_nationkey"), {"$unionWith": {"coll": "supplier", "pipeline": [keep(name="$s_name", nation="$s_nationkey")]}}], "SELECT c_name AS name, c_nationkey AS nation FROM customer UNION ALL SELECT s_name, s_nationkey FROM supplier")
 add("q_graphlookup", "nation", [{"$match": {"n_nationkey": {"$lt": 10}}}, {"$graphLookup": {"from": "nation", "startWith": "$n_regionkey", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "g", "depthField": "d", "maxDepth": 5}}, {"$unwind": "$g"}, {"$project": {"_id": 0, "n_nationkey": 1, "to": "$g.n_nationkey", "depth": "$g.d"}}], "WITH RECURSIVE r AS (SELECT n.n_nationkey AS s, t.n_nationkey AS k, t.n_regionkey AS nx, 0 AS d FROM nation n JOIN nation t ON t.n_nationkey = n.n_regionkey WHERE n.n_nationkey < 10 UNION ALL SELECT r.s, t.n_nationkey, t.n_regionkey, r.d + 1 FROM r JOIN nation t ON t.n_nationkey = r.nx WHERE r.d < 5) SELECT s AS n_nationkey, k AS to, min(d)::BIGINT AS depth FROM r GROUP BY s, k")
+add("q_graphlookup_whole", "nation", [{"$graphLookup": {"from": "nation", "startWith": "$n_regionkey", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "g", "depthField": "d", "maxDepth": 5}}, {"$unwind": "$g"}, {"$project": {"_id": 0, "n_nationkey": 1, "to": "$g.n_nationkey", "depth": "$g.d"}}], "WITH RECURSIVE r AS (SELECT n.n_nationkey AS s, t.n_nationkey AS k, t.n_regionkey AS nx, 0 AS d FROM nation n JOIN nation t ON t.n_nationkey = n.n_regionkey UNION ALL SELECT r.s, t.n_nationkey, t.n_regionkey, r.d + 1 FROM r JOIN nation t ON t.n_nationkey = r.nx WHERE r.d < 5) SELECT s AS n_nationkey, k AS to, min(d)::BIGINT AS depth FROM r GROUP BY s, k")
 
 # --- windows ---
 _PART = {"c": "$o_custkey"}
@@ -143,6 +145,7 @@ add("q_fill", "events", [_HOLES, {"$fill": {"partitionBy": {"u": "$user_id"}, "s
 add("q_fill_value", "events", [_HOLES, {"$fill": {"output": {"v": {"value": -1.0}}}}, keep("event_id", "v")], "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value ELSE -1.0 END AS v FROM events")
 add("q_win_ema", "events", [{"$setWindowFields": {"partitionBy": {"u": "$user_id"}, "sortBy": {"ts": 1}, "output": {"x": {"$expMovingAvg": {"input": "$value", "N": 4}}}}}, keep("event_id", x={"$round": ["$x", 5]})], "WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events), r AS (SELECT event_id, user_id, i, value AS x FROM n WHERE i = 1 UNION ALL SELECT n.event_id, n.user_id, n.i, n.value * 0.4::DOUBLE + r.x * 0.6::DOUBLE FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1) SELECT event_id, round(x, 5) AS x FROM r")
 add("q_densify", "events", [{"$match": {"user_id": {"$lt": 3}}}, {"$group": {"_id": {"$dateFromParts": {"year": {"$year": "$ts"}, "month": {"$month": "$ts"}, "day": {"$dayOfMonth": "$ts"}}}, "n": {"$sum": 1}}}, {"$project": {"_id": 0, "day": "$_id", "n": 1}}, {"$densify": {"field": "day", "range": {"step": 1, "unit": "day", "bounds": "full"}}}], "WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events WHERE user_id < 3 GROUP BY 1) SELECT g.day, d.n FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) g LEFT JOIN d ON g.day = d.day")
+add("q_densify_whole", "events", [{"$group": {"_id": {"$dateFromParts": {"year": {"$year": "$ts"}, "month": {"$month": "$ts"}, "day": {"$dayOfMonth": "$ts"}}}, "n": {"$sum": 1}}}, {"$project": {"_id": 0, "day": "$_id", "n": 1}}, {"$densify": {"field": "day", "range": {"step": 1, "unit": "day", "bounds": "full"}}}], "WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY 1) SELECT g.day, d.n FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) g LEFT JOIN d ON g.day = d.day")
 
 # --- expressions ---
 
@@ -252,6 +255,20 @@ def _out_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.kept.aggregate([{"$project": {"_id": 0, "key": "$_id", "cust": 1, "price": 1}}]).to_df()
 
 
+def _out_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all orders: closed ones are stored, changed others and open ones merged in."""
+    from uuid import uuid4
+
+    from ..sources.scratch import shared_dir
+
+    db = Engine(spark, f"{shared_dir(spark)}/suite-{uuid4().hex}").connect().db("d")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    db.source.insert_frame(orders.selectExpr("o_orderkey AS _id", "o_custkey AS cust", "o_totalprice AS price", "o_orderstatus AS status"))
+    db.source.aggregate([{"$match": {"status": {"$ne": "O"}}}, {"$project": {"cust": 1, "price": 1}}, {"$out": "kept"}])
+    db.source.aggregate([{"$match": {"status": {"$ne": "F"}}}, {"$project": {"price": {"$multiply": ["$price", 10]}}}, {"$merge": {"into": "kept"}}])
+    return db.kept.aggregate([{"$project": {"_id": 0, "key": "$_id", "cust": 1, "price": 1}}]).to_df()
+
+
 def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     db = Engine(spark).from_frames({"d": docs}, {"d": [{"key": {"text": "text"}, "name": "text_text"}]})
@@ -272,6 +289,7 @@ WRITTEN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "q_update_arrays": (_update_arrays, "WITH a AS (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part), b AS (SELECT p_partkey, CASE WHEN list_contains(w, 'STEEL') THEN list_sort(list_concat(w, ['ZZ', 'AA']))[1:3] ELSE w END AS w FROM a), c AS (SELECT p_partkey, list_filter(CASE WHEN list_contains(w, 'AA') THEN w ELSE list_append(w, 'AA') END, lambda x: x <> 'BRASS') AS w FROM b) SELECT p_partkey, len(w) AS n, w[1] AS first FROM c"),
     "q_update_positional": (_update_positional, "SELECT p_partkey, list_contains(string_split(p_type, ' '), 'STEEL') AS iron, CASE WHEN list_contains(string_split(p_type, ' '), 'STEEL') THEN len(list_filter(string_split(p_type, ' '), lambda x: x LIKE 'T%')) ELSE 0 END AS tall FROM part"),
     "q_out_merge": (_out_merge, "SELECT o_orderkey AS key, CASE WHEN o_custkey < 100 THEN o_custkey END AS cust, CASE WHEN o_custkey >= 50 THEN o_totalprice * 10 ELSE o_totalprice END AS price FROM orders WHERE o_custkey < 150"),
+    "q_out_merge_whole": (_out_merge_whole, "SELECT o_orderkey AS key, CASE WHEN o_orderstatus <> 'O' THEN o_custkey END AS cust, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice * 10 ELSE o_totalprice END AS price FROM orders"),
     "q_text": (_text, r"WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\s[:punct:]]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, round(len(list_filter(w, lambda x: contains(x, 'tion'))) / sqrt(len(w)), 8) AS score FROM w WHERE len(list_filter(w, lambda x: contains(x, 'tion'))) > 0 AND len(list_filter(w, lambda x: contains(x, 'worthless'))) = 0"),
     "q_geo_near": (_geo_near, f"SELECT c_custkey, round({_HAV} / 1000, 3) AS d FROM (SELECT c_custkey, c_acctbal, (c_custkey % 360) - 180 AS x, ((c_custkey * 7) % 170) - 85 AS y FROM customer) WHERE {_HAV} <= 3000000 AND c_acctbal > 0"),
 }
