@@ -88,17 +88,22 @@ def parse_record(record: bytes) -> dict:
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from evenly spread records; empty where too few are there."""
+    """A dictionary from evenly spread records; empty where fewer than 8 are there.
+
+    At least 8 records are sampled, and all of them where these can't train one.
+    """
     total = sum(map(len, records))
-    step = max(1, -(-total // SAMPLE_BYTES))
-    samples = [r[:131_072] for r in records[::step]]
-    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
-    if len(samples) < 8 or size < 1024:
-        return b""
-    try:
-        return zstd.train_dictionary(size, samples).as_bytes()
-    except zstd.ZstdError:
-        return b""
+    step = max(1, min(-(-total // SAMPLE_BYTES), len(records) // 8))
+    for stride in dict.fromkeys((step, 1)):
+        samples = [r[:131_072] for r in records[::stride]]
+        size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
+        if len(samples) < 8 or size < 1024:
+            continue
+        try:
+            return zstd.train_dictionary(size, samples).as_bytes()
+        except zstd.ZstdError:
+            continue
+    return b""
 
 
 def write_archive(stream, records: list[bytes]) -> None:

@@ -274,3 +274,15 @@ def test_warc_archive_format():
     assert frame.decompress(raw[8 + size :]) == records[0] and frame.unused_data
     assert list(warc.read_archive(io.BytesIO(raw))) == records
     assert hashlib.sha1(b"").digest() and warc.sha1_base32(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+
+
+def test_dictionary_of_few_large_records():
+    r = random.Random(12)
+    words = [f"<td class='c{k}'>word{k}</td>" for k in range(3000)]
+    records = [" ".join(r.choice(words) for _ in range(30_000)).encode() for _ in range(30)]
+    assert sum(map(len, records)) > 6 * warc.SAMPLE_BYTES
+    assert warc.build_dictionary(records)
+    stream = io.BytesIO()
+    warc.write_archive(stream, records)
+    stream.seek(0)
+    assert list(warc.read_archive(stream)) == records
