@@ -8,6 +8,11 @@ touched neighbours, which enter the index under their own new ranks.  Words are
 independent, so replaying all of them in one rank order gives each the merges,
 in the order, that encoding it alone would.  No row leaves its partition: there
 is no shuffle, and a lost task is simply run again.
+
+Texts are first cut into runs without white space, each with the space before
+it.  For a pattern that never matches across the start of such a run, which
+``splits_at_spaces`` knows of, the ids of a text are the ids of its runs in a row,
+so a run met before costs one look-up.
 """
 
 from __future__ import annotations
@@ -15,20 +20,30 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, str_values
 
-#: Distinct pre-tokens whose ids a worker keeps; the store is emptied beyond it.
-CACHE_WORDS = 400_000
-#: Longer pre-tokens are encoded but not kept.
+#: Bytes of memory for the runs and pre-tokens whose ids a worker keeps; the store is emptied beyond it.
+CACHE_BYTES = 96 << 20
+#: What an entry takes beside its characters and ids.
+_ENTRY_BYTES = 200
+#: Longer runs and pre-tokens are encoded but not kept.
 CACHE_WORD_CHARS = 256
 #: Texts are replayed together up to about so many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
+#: A run without white space, with the space before it, or the white space between runs.
+_RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Characters that only one of the two regular expression modules takes for white space.
+_DISPUTED = re.compile("[\x1c-\x1f]")
+#: How a pattern ends whose other matches are a space at most, then no white space.
+_SPACES_LAST = r"|\s+(?!\S)|\s+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -118,45 +133,78 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int
     return out
 
 
+def splits_at_spaces(pattern: str) -> bool:
+    """Whether every match lies within one of ``_RUNS``.
+
+    That is so for alternatives of an optional space and characters that are no
+    white space, followed by the two alternatives for white space.
+    """
+    if not pattern.endswith(_SPACES_LAST):
+        return False
+    parts = pattern.removesuffix(_SPACES_LAST).split("|")
+    return all(re.fullmatch(r"'[a-z]+| \?(\\p\{[LN]\}|\[\^\\s\\p\{L\}\\p\{N\}\])\+", x) for x in parts)
+
+
 class MergeReplayCodec:
-    """Encoder and decoder of one vocabulary, with a bounded store of words."""
+    """Encoder and decoder of one vocabulary, with a bounded store of runs and pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.decimals = {rank: b"%d," % rank for rank in self.tokens}
         self.split = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.by_runs = splits_at_spaces(pattern)
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers in a row
+        self.held = 0
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of each text.  One replay serves all texts of a slice."""
+        """Ids of each text."""
+        for packed in self.encode_packed(texts):
+            yield np.frombuffer(packed, np.int32).tolist()
+
+    def encode_packed(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text as 32-bit integers.  One replay serves all texts of a slice."""
         pieces: list[list[str]] = []
         size = 0
         for text in texts:
-            pieces.append(self.split.findall(text))
+            pieces.append(self._runs(text))
             size += len(text)
             if size > SLICE_CHARS:
                 yield from self._encode_slice(pieces)
                 pieces, size = [], 0
         yield from self._encode_slice(pieces)
 
-    def _encode_slice(self, texts: list[list[str]]) -> Iterator[list[int]]:
+    def _runs(self, text: str) -> list[str]:
+        return _RUNS.findall(text) if self.by_runs and not _DISPUTED.search(text) else self.split.findall(text)
+
+    def _encode_slice(self, texts: list[list[str]]) -> Iterator[bytes]:
         known = self.known
-        if len(known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             known.clear()
-        new = list({p for pieces in texts for p in pieces} - known.keys())
-        known.update(zip(new, replay_merges([p.encode("utf-8", "replace") for p in new], self.ranks)))
+            self.held = 0
+        new = {p for pieces in texts for p in pieces} - known.keys()
+        inner = {run: self.split.findall(run) for run in new}
+        fresh = list({p for pieces in inner.values() for p in pieces} - known.keys())
+        known.update(zip(fresh, (np.array(x, np.int32).tobytes() for x in replay_merges([p.encode("utf-8", "replace") for p in fresh], self.ranks))))
+        for run in new:
+            if run not in known:
+                known[run] = b"".join(map(known.__getitem__, inner[run]))
+        new.update(fresh)
         for pieces in texts:
-            ids: list[int] = []
-            for part in map(known.__getitem__, pieces):
-                ids.extend(part)
-            yield ids
+            yield b"".join(map(known.__getitem__, pieces))
         for p in new:
             if len(p) > CACHE_WORD_CHARS:
                 del known[p]
+            else:
+                self.held += _ENTRY_BYTES + len(p) + len(known[p])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decimal(self, ids: Iterable[int]) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return b"".join(map(self.decimals.__getitem__, ids))[:-1]
+
 
 _codecs: dict[tuple[str, str], MergeReplayCodec] = {}
 
@@ -169,6 +217,12 @@ def codec(path: str, pattern: str) -> MergeReplayCodec:
     return _codecs[key]
 
 
+def _id_lists(packed: list[bytes]) -> pa.ListArray:
+    sizes = np.array([0, *map(len, packed)], np.int64) // 4
+    values = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), values)
+
+
 def encode(
     docs: DataFrame,
     ranks_path: str,
@@ -185,17 +239,9 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = list(c.encode_batch(str_values(part.column(1))))
-                yield pa.record_batch(
-                    [
-                        part.column(0).cast(pa.int64()),
-                        pa.array(ids, pa.list_(pa.int32())),
-                        pa.array([c.decode(x) for x in ids], pa.binary()),
-                    ],
-                    ["doc_id", "ids", "decoded"],
-                )
+            packed = list(c.encode_packed(str_values(batch.column(1))))
+            decoded = [c.decode(np.frombuffer(x, np.int32).tolist()) for x in packed]
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), _id_lists(packed), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return arrow_map(docs, [id_col, text_col], run, "doc_id long, ids array<int>, decoded binary")
 
@@ -219,17 +265,16 @@ def encode_digests(
         c = codec(ranks_path, pattern)
         sha = hashlib.sha256
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                count, ids_sha, text_sha, all_ids = [], [], [], []
-                for ids in c.encode_batch(str_values(part.column(1))):
-                    count.append(len(ids))
-                    ids_sha.append(sha(",".join(map(str, ids)).encode()).hexdigest())
-                    text_sha.append(sha(c.decode(ids)).hexdigest())
-                    if with_ids:
-                        all_ids.append(ids)
-                columns = [part.column(0).cast(pa.int64()), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                yield pa.record_batch(columns + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names)
+            count, ids_sha, text_sha, all_ids = [], [], [], []
+            for packed in c.encode_packed(str_values(batch.column(1))):
+                ids = np.frombuffer(packed, np.int32).tolist()
+                count.append(len(ids))
+                ids_sha.append(sha(c.decimal(ids)).hexdigest())
+                text_sha.append(sha(c.decode(ids)).hexdigest())
+                if with_ids:
+                    all_ids.append(packed)
+            columns = [batch.column(0).cast(pa.int64()), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.record_batch(columns + [_id_lists(all_ids)] * with_ids, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return arrow_map(docs, [id_col, text_col], run, schema)

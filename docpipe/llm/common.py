@@ -7,57 +7,54 @@ A null text counts as an empty one unless an operator says otherwise.
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docpipe.sources.scratch import scratch_path, shared_dir, stash
+
+__all__ = ["scratch_path", "shared_dir", "stash"]
+
 #: The contract's white space: space and U+0009 to U+000D, as for bytes.split().
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = re.compile(rf"[^{SPACE_CLASS}]+")
 
-_own_dir: list[str] = []
+#: Bytes of an Arrow batch that operators are handed; one row may be longer.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT = "67108864b"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark cut Arrow batches by ``BATCH_BYTES``, unless the session names a size itself."""
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
-    It is the one named in ``spark.checkpoint.dir``.  Where that is unset, a
-    local session gets a folder of its own, removed at exit; any other session
-    gets a folder below the warehouse.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="docpipe-"))
-            atexit.register(shutil.rmtree, _own_dir[0], True)
-        return f"file://{_own_dir[0]}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_docpipe_scratch"
 
+def content_key(df: DataFrame, *columns: str) -> list[Column]:
+    """``(k1, k2)``: 128 bits that stand for the values of the columns, nulls told apart."""
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    def value(c: str) -> Column:
+        kind = df.schema[c].dataType.simpleString()
+        column = F.col(f"`{c}`")
+        return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else column  # neither can be hashed
 
+    values = [x for c in columns for x in (value(c), F.col(f"`{c}`").isNull())]
+    return [F.xxhash64(F.lit(salt), *values).alias(name) for salt, name in ((11, "k1"), (23, "k2"))]
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
 
-    The copy cuts the lineage, so that what follows neither repeats the work
-    nor depends on executors that may be lost.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def with_content_key(docs: DataFrame, *columns: str) -> DataFrame:
+    """``(row, k1, k2)``: each row whole in a struct, beside the key of the columns."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *content_key(docs, *columns))
+
+
+def without_content(docs: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``docs`` whose values of the columns have no key in ``keys(k1, k2)``."""
+    return with_content_key(docs, *columns).join(keys.select("k1", "k2"), ["k1", "k2"], "left_anti").select("row.*")
 
 
 def arrow_map(
@@ -66,7 +63,8 @@ def arrow_map(
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str,
 ) -> DataFrame:
-    """``mapInArrow`` over just the given columns."""
+    """``mapInArrow`` over just the given columns, in batches of bounded bytes."""
+    bounded_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(fn, schema)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stash, utf8_values
+from .common import arrow_map, bounded_batches, utf8_values
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -154,7 +154,7 @@ class Block:
                 yield item_id, len(item), covered, len(tiles)
 
 
-_blocks: dict[str, Block] = {}
+_blocks: dict[str, Block] = {}  # the worker's last block
 
 
 def leaks(
@@ -173,26 +173,40 @@ def leaks(
     texts among them, can't be told from chance and never leak.  Null ids pass
     through; repeated rows give repeated rows.
     """
-    spark = docs.sparkSession
+    parts = []
+    for block in _benchmark_blocks(benchmark, min_match, block_bytes):
+        parts.append(arrow_map(docs, [id_col, text_col], _comparer(block, coverage), _SCHEMA))
+    return reduce(DataFrame.unionByName, parts)
+
+
+class SharedBlock:
+    """A block of the benchmark, sent to the workers as ids and texts and indexed there once."""
+
+    def __init__(self, rows, min_match: int):
+        self.rows, self.min_match, self.key = rows, min_match, uuid.uuid4().hex
+
+    def here(self) -> Block:
+        if self.key not in _blocks:
+            _blocks.clear()
+            _blocks[self.key] = Block(self.rows.value, self.min_match)
+        return _blocks[self.key]
+
+
+def _benchmark_blocks(benchmark: DataFrame, min_match: int, block_bytes: int) -> Iterator[SharedBlock]:
+    """Blocks of the items, dealt by a hash, of about half ``block_bytes`` each."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text"), F.octet_length("text").alias("size"))
     total = items.agg(F.sum("size")).first()[0] or 0
     blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    parts = []
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = [(r[0], (r[1] or "").encode()) for r in own.select("item_id", "text").collect()]
-        parts.append(arrow_map(docs, [id_col, text_col], _comparer(spark.sparkContext.broadcast(rows), min_match, coverage), _SCHEMA))
-    return reduce(DataFrame.unionByName, parts)
-
+        yield SharedBlock(spark.sparkContext.broadcast(rows), min_match)
 
-def _comparer(rows, min_match: int, coverage: float):
-    key = uuid.uuid4().hex
 
+def _comparer(shared: SharedBlock, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _blocks.get(key)
-        if block is None:
-            _blocks.clear()
-            block = _blocks[key] = Block(rows.value, min_match)
+        block = shared.here()
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8_values(batch.column(1))):
@@ -206,11 +220,33 @@ def _comparer(rows, min_match: int, coverage: float):
     return run
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents into which no item leaked, all their columns.
+def drop_leaked(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    min_match: int = MIN_MATCH,
+    coverage: float = COVERAGE,
+    block_bytes: int = BLOCK_BYTES,
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows into whose text no item leaked, all their columns.
 
-    Rows that share an id go together; rows without an id stay.
+    Each row is judged by its own text where it lies, whatever its id: of rows
+    that share an id one may go and another stay.  A null text holds nothing and
+    stays; an empty table gives an empty one.
     """
-    found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    bad = stash(found.where("doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct(), "leaked")
-    return docs.join(bad, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    bounded_batches(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def clean(shared: SharedBlock):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = shared.here()
+            for batch in batches:
+                keep = [next(block.compare(t, coverage), None) is None for t in utf8_values(batch.column(place))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    kept = docs
+    for shared in _benchmark_blocks(benchmark, min_match, block_bytes):
+        kept = kept.mapInArrow(clean(shared), docs.schema)
+    return kept

@@ -1,17 +1,20 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
 Each document gives a vector of transformed statistics.  For every language and
-source the minimum covariance determinant is sought by concentration steps: from
-medians and absolute deviations, keep the share ``SUPPORT`` of rows with the
-smallest distances, take their mean and covariance, measure all rows by them,
-and so on.  Distances and medians are ranked through fixed bins, so every step is
-a partially aggregated count or sum: a group that holds a third of all rows
-costs its tasks no more than any other, and nothing is collected.
-
-Groups of fewer than ``MIN_GROUP`` rows are judged with the other small sources
-of their language, and where those are fewer than ``MIN_POOL``, with what other
-languages have left over.  Only if all that is left over in the whole input is
-fewer than ``MIN_POOL`` rows, no row of it is an outlier.
+source the minimum covariance determinant is sought from four deterministic
+starts: medians with absolute deviations, plain moments, correlations of squashed
+scores, and spatial signs.  A concentration step keeps the share ``SUPPORT`` of
+rows with the smallest distances, takes their mean and covariance, and measures
+all rows by them.  Every start takes ``TRIAL_STEPS``; the one with the smallest
+determinant goes on until its determinant falls no further.  Distances and
+medians are ranked through fixed bins, so every step is a partially aggregated
+count or sum: a group that holds a third of all rows costs its tasks no more
+than any other, and nothing is collected.
+
+An estimate of five dimensions needs ``MIN_ROWS`` rows.  Groups with fewer are
+judged with the other small sources of their language, and where those are too
+few, with what other languages have left over.  Only if all that is left over in
+the whole input is fewer than ``MIN_ROWS`` rows, no row of it is an outlier.
 """
 
 from __future__ import annotations
@@ -21,25 +24,29 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, stash
+from .common import SPACE_CLASS, content_key, stash, without_content
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MIN_GROUP = 100
 SUPPORT = 0.75
-STEPS = 3
+#: Concentration steps of every start, and of the best start at most.
+TRIAL_STEPS = 2
+STEPS = 40
 #: Chance at which a row of a normal population would be rejected.
 ALPHA = 1e-9
 #: Smallest standard deviation that a transformed statistic is granted.
 FLOORS = (0.25, 0.05, 0.35, 0.15, 0.15)
 _P = len(FLOORS)
-#: Rows that an estimate over pooled groups needs, five for each dimension.
-MIN_POOL = 5 * _P
+#: Rows that an estimate needs, five for each dimension.
+MIN_ROWS = 5 * _P
 _BINS_PER_UNIT = 128
 _BLANKS = " \t\n\x0b\x0c\r"
 _X = [f"x{i}" for i in range(_P)]
+_M = [f"m{i}" for i in range(_P)]
+_PAIRS = [(i, k) for i in range(_P) for k in range(i + 1)]
+_W = [f"w{i}{k}" for i, k in _PAIRS]
 
 
 def _bind(value: Column, use) -> Column:
@@ -95,13 +102,20 @@ def statistics(text: Column) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The statistics and the base rule for every row, with lang and source."""
+    """The statistics and the base rule for every row, with lang and source.
+
+    ``k1`` and ``k2`` stand for all that a verdict depends on.  ``docs`` must have
+    columns ``lang`` and ``source``.
+    """
     rows = docs.select(
+        *content_key(docs, text_col, "lang", "source"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         statistics(F.col(text_col)).alias("s"),
     ).select(
+        "k1",
+        "k2",
         "doc_id",
         "lang",
         "source",
@@ -168,77 +182,98 @@ def _binned_median(rows: DataFrame, values: list[Column]) -> DataFrame:
 
 def _distance() -> Column:
     """Squared Mahalanobis distance from ``m`` by the inverse factor ``w``."""
-    total = F.lit(0.0)
-    for i in range(_P):
-        z = F.lit(0.0)
-        for k in range(i + 1):
-            z = z + F.col(f"w{i}{k}") * (F.col(f"x{k}") - F.col(f"m{k}"))
-        total = total + z * z
-    return total
+    rows = [" + ".join(f"w{i}{k} * (x{k} - m{k})" for k in range(i + 1)) for i in range(_P)]
+    return F.expr(" + ".join(f"({row}) * ({row})" for row in rows))
 
 
 def _inverse_factor(estimates: DataFrame) -> DataFrame:
-    """Columns ``w``: the inverse of the Cholesky factor of the covariance ``c``."""
-    for i in range(_P):
-        for k in range(i + 1):
-            rest = F.col(f"c{i}{k}")
-            for j in range(k):
-                rest = rest - F.col(f"l{i}{j}") * F.col(f"l{k}{j}")
-            value = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == k else rest / F.col(f"l{k}{k}")
-            estimates = estimates.withColumn(f"l{i}{k}", value)
-    for i in range(_P):
-        estimates = estimates.withColumn(f"w{i}{i}", 1.0 / F.col(f"l{i}{i}"))
-        for k in range(i):
-            total = F.lit(0.0)
-            for j in range(k, i):
-                total = total + F.col(f"l{i}{j}") * F.col(f"w{j}{k}")
-            estimates = estimates.withColumn(f"w{i}{k}", -total / F.col(f"l{i}{i}"))
-    return estimates.select("g", *[f"m{i}" for i in range(_P)], *[f"w{i}{k}" for i in range(_P) for k in range(i + 1)])
-
-
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and a diagonal factor of the median absolute deviations."""
+    """Columns ``w``, the inverse of the Cholesky factor of the covariance ``c``, and the log of its determinant."""
+    for k in range(_P):
+        rest = lambda i: " - ".join([f"c{i}{k}", *[f"l{i}{j} * l{k}{j}" for j in range(k)]])  # noqa: B023, E731
+        estimates = estimates.selectExpr("*", f"sqrt(greatest({rest(k)}, 1e-12D)) AS l{k}{k}")
+        estimates = estimates.selectExpr("*", f"1 / l{k}{k} AS w{k}{k}", *[f"({rest(i)}) / l{k}{k} AS l{i}{k}" for i in range(k + 1, _P)])
+    for gap in range(1, _P):
+        below = [(i, i - gap) for i in range(gap, _P)]
+        estimates = estimates.selectExpr("*", *[f"-({' + '.join(f'l{i}{j} * w{j}{k}' for j in range(k, i))}) / l{i}{i} AS w{i}{k}" for i, k in below])
+    size = " + ".join(f"ln(l{i}{i})" for i in range(_P))
+    return estimates.selectExpr("g", "start", *_M, *_W, f"2 * ({size}) AS logdet")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """``(g, start, m, w, logdet)``: the four starts of each group.
+
+    Only the order of distances matters here, so the scale of a covariance does not.
+    """
     medians = stash(_binned_median(rows, [F.col(x) for x in _X]), "medians")
     off = [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(_P)]
-    spread = _binned_median(rows.join(medians, "g").select("g", *_X, *[f"m{i}" for i in range(_P)]), off)
+    spread = _binned_median(rows.join(medians, "g").select("g", *_X, *_M), off)
     spread = spread.select("g", *[F.greatest(1.4826 * F.col(f"m{i}"), F.lit(FLOORS[i])).alias(f"s{i}") for i in range(_P)])
-    factors = [
-        (1.0 / F.col(f"s{i}") if i == k else F.lit(0.0)).alias(f"w{i}{k}") for i in range(_P) for k in range(i + 1)
-    ]
-    return medians.join(spread, "g").select("g", *[f"m{i}" for i in range(_P)], *factors)
+    scales = stash(medians.join(spread, "g"), "scales")
+    z = [f"(x{i} - m{i}) / s{i}" for i in range(_P)]
+    scored = rows.join(scales, "g").selectExpr("g", *_X, *[f"{v} AS z{i}" for i, v in enumerate(z)])
+    scored = scored.selectExpr("*", *[f"tanh(z{i}) AS t{i}" for i in range(_P)], "sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(_P)) + ") AS norm")
+    scored = scored.selectExpr("*", *[f"if(norm > 0, z{i} / norm, 0D) AS u{i}" for i in range(_P)])
+    moments = scored.groupBy("g").agg(
+        *[F.expr(f"avg(x{i}) AS a{i}") for i in range(_P)],
+        *[F.expr(f"covar_pop({v}{i}, {v}{k}) AS {v}{i}{k}") for v in "xt" for i, k in _PAIRS],
+        *[F.expr(f"avg(u{i} * u{k}) AS u{i}{k}") for i, k in _PAIRS],
+    )
+
+    def covariance(kind: str, i: int, k: int) -> str:
+        if kind == "median":
+            return f"s{i} * s{k}" if i == k else "0D"
+        if kind == "moments":
+            return f"x{i}{k}" + (f" + {FLOORS[i] ** 2!r}D" if i == k else "")
+        if kind == "squashed":
+            return f"s{i} * s{k}" if i == k else f"s{i} * s{k} * t{i}{k} / sqrt(greatest(t{i}{i}, 1e-6D) * greatest(t{k}{k}, 1e-6D))"
+        return f"s{i} * s{k} * (u{i}{k}" + (" + 0.01D)" if i == k else ")")
 
+    def struct(n: int, kind: str) -> str:
+        centre = [f"{'a' if kind == 'moments' else 'm'}{i} AS m{i}" for i in range(_P)]
+        return f"struct({n} AS start, {', '.join(centre + [f'{covariance(kind, i, k)} AS c{i}{k}' for i, k in _PAIRS])})"
 
-def _concentrated(rows: DataFrame, estimate: DataFrame, factor: float) -> DataFrame:
+    each = ", ".join(struct(n, kind) for n, kind in enumerate(["median", "moments", "squashed", "signs"]))
+    return _inverse_factor(scales.join(moments, "g").selectExpr("g", f"inline(array({each}))"))
+
+
+def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """One step: mean and covariance of the rows nearest by the last estimate."""
-    near = rows.join(estimate, "g").select("g", *_X, F.floor(_BINS_PER_UNIT * F.log1p(_distance())).alias("bin"))
-    cut = _ranked(near.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], SUPPORT)
-    chosen = near.join(stash(cut.withColumnRenamed("bin", "cut"), "cuts"), "g").where("bin <= cut")
-    pairs = [(i, k) for i in range(_P) for k in range(i + 1)]
-    sums = chosen.groupBy("g").agg(
-        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(_P)],
-        *[F.covar_pop(f"x{i}", f"x{k}").alias(f"v{i}{k}") for i, k in pairs],
+    factor = SUPPORT / chi2_cdf(chi2_quantile(SUPPORT, _P), _P + 2)
+    near = rows.join(estimate, "g").select("g", "start", *_X, F.floor(_BINS_PER_UNIT * F.log1p(_distance())).alias("bin"))
+    cut = _ranked(near.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["g", "start"], SUPPORT)
+    chosen = near.join(stash(cut.withColumnRenamed("bin", "cut"), "cuts"), ["g", "start"]).where("bin <= cut")
+    sums = chosen.groupBy("g", "start").agg(
+        *[F.expr(f"avg(x{i}) AS m{i}") for i in range(_P)], *[F.expr(f"covar_pop(x{i}, x{k}) AS v{i}{k}") for i, k in _PAIRS]
     )
     floor = {(i, i): FLOORS[i] ** 2 for i in range(_P)}
-    covariance = [(factor * F.col(f"v{i}{k}") + floor.get((i, k), 0.0)).alias(f"c{i}{k}") for i, k in pairs]
-    return _inverse_factor(sums.select("g", *[f"m{i}" for i in range(_P)], *covariance))
-
+    covariance = [f"{factor!r}D * v{i}{k} + {floor.get((i, k), 0.0)!r}D AS c{i}{k}" for i, k in _PAIRS]
+    return _inverse_factor(sums.selectExpr("g", "start", *_M, *covariance))
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Robust centre and inverse factor of each group of ``rows(g, x0, ...)``."""
-    consistency = SUPPORT / chi2_cdf(chi2_quantile(SUPPORT, _P), _P + 2)
-    estimate = stash(_start(rows), "estimates")
-    for _ in range(steps):
-        estimate = stash(_concentrated(rows, estimate, consistency), "estimates")
-    return estimate
 
+def estimates(rows: DataFrame, trial_steps: int = TRIAL_STEPS, steps: int = STEPS) -> DataFrame:
+    """Robust centre, inverse factor and log determinant of each group of ``rows(g, x0, ...)``.
 
-def judged(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, statistics..., base_failed, kept)`` for every row.
-
-    A null text has no words and fails the base rule.  Null languages and
-    sources count as empty strings, null ids pass through, repeated rows give
-    repeated rows and count as often in the estimates.
+    The covariance of a step carries the floors on its diagonal, so determinants
+    are never zero.  The smallest that a group has met is its estimate.
     """
+    found = stash(_starts(rows), "starts")
+    for _ in range(trial_steps):
+        found = stash(_concentrated(rows, found), "estimates")
+    whole = F.struct("logdet", "start", *_M, *_W)
+    best = stash(found.groupBy("g").agg(F.min(whole).alias("e")).select("g", "e.*"), "best")
+    for _ in range(steps - trial_steps):
+        last = best.selectExpr("g", "start AS last_start", "logdet AS last", *[f"{c} AS last_{c}" for c in [*_M, *_W]])
+        step = _concentrated(rows, best).join(last, "g")
+        lower = "logdet < last - 1e-9"
+        kept = [f"if({lower}, {c}, last_{c}) AS {c}" for c in [*_M, *_W]]
+        best = stash(step.selectExpr("g", "start", *kept, "least(logdet, last) AS logdet", f"{lower} AS moved"), "best")
+        if not best.where("moved").limit(1).count():
+            break
+        best = best.drop("moved")
+    return best.select("g", "start", *_M, *_W, "logdet")
+
+
+def _judgements(docs: DataFrame, alpha: float, id_col: str, text_col: str) -> DataFrame:
     rows = stash(measured(docs, id_col, text_col), "statistics")
     sizes = rows.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
@@ -246,27 +281,38 @@ def judged(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_c
         return F.struct(lang.alias("lang"), source.alias("source"))
 
     none = F.lit(None).cast("string")
-    named = sizes.withColumn("k", F.when(F.col("n") >= MIN_GROUP, key(F.col("lang"), F.col("source"))).otherwise(key(F.col("lang"), none)))
+    named = sizes.withColumn("k", F.when(F.col("n") >= MIN_ROWS, key(F.col("lang"), F.col("source"))).otherwise(key(F.col("lang"), none)))
     totals = named.groupBy("k").agg(F.sum("n").alias("total"))
-    pooled = named.join(totals, "k").withColumn("k", F.when(F.col("total") >= MIN_POOL, F.col("k")).otherwise(key(none, none))).drop("total")
-    enough = pooled.groupBy("k").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_POOL)
+    pooled = named.join(totals, "k").withColumn("k", F.when(F.col("total") >= MIN_ROWS, F.col("k")).otherwise(key(none, none))).drop("total")
+    enough = pooled.groupBy("k").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_ROWS)
     groups = stash(pooled.join(enough, "k").select("lang", "source", F.xxhash64("k.lang", "k.source").alias("g")), "groups")
     vectors = rows.join(groups, ["lang", "source"], "left").select(*rows.columns, "g", *[v.alias(x) for x, v in zip(_X, _vector())])
     sound = stash(vectors.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *_X), "vectors")
     found = vectors.join(estimates(sound), "g", "left")
     outlier = F.coalesce(_distance() > chi2_quantile(1 - alpha, _P), F.lit(False))
-    return found.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~outlier).alias("kept"), F.when(~F.col("base_failed"), _distance()).alias("distance"),
-    )
+    return found.select(*rows.columns, (~F.col("base_failed") & ~outlier).alias("kept"), F.when(~F.col("base_failed"), _distance()).alias("distance"))
+
+
+def judged(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, statistics..., base_failed, kept, distance)`` for every row.
+
+    A null text has no words and fails the base rule.  Null languages and
+    sources count as empty strings, null ids pass through, repeated rows give
+    repeated rows and count as often in the estimates.  An empty table gives an
+    empty one.
+    """
+    return _judgements(docs, alpha, id_col, text_col).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
 
 
 def drop_rejected(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the rules keep, all their columns.
+    """The rows that the rules keep, all their columns.
 
-    Rows of one id go together: a rejected one takes them all.  Rows without an
-    id can't be told apart and stay.
+    A verdict depends on a row's text, language and source alone, and goes by a
+    128-bit hash of them: rows of one id are judged one by one, and rows without
+    an id like any other.  Otherwise as :func:`judged`.
     """
-    verdicts = judged(docs, alpha, id_col, text_col)
-    bad = stash(verdicts.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct(), "rejected")
-    return docs.join(bad, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    verdicts = _judgements(docs, alpha, id_col, text_col)
+    bad = stash(verdicts.where("not kept").select("k1", "k2").distinct(), "rejected")
+    return without_content(docs, bad, text_col, "lang", "source")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, sorted_groups, stash, utf8_values
+from .common import arrow_map, content_key, sorted_groups, stash, utf8_values, with_content_key, without_content
 from .components import connected_components
 
 #: Fingerprints of a bucket that one search takes.
@@ -59,18 +59,22 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", with_keys: bool = False
 ) -> DataFrame:
-    """``(doc_id, fp long)`` for every row; a text without words has 0."""
+    """``(doc_id, fp long)`` for every row; a text without words has 0.
+
+    With keys, also ``k1`` and ``k2``, which stand for the row's whole content.
+    """
+    names = ["doc_id", "fp"] + ["k1", "k2"] * with_keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [simhash(shingle_hashes(t, width, seed)) for t in utf8_values(batch.column(1))]
-            yield pa.record_batch(
-                [batch.column(0).cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"]
-            )
+            yield pa.record_batch([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *batch.columns[2:]], names)
 
-    return arrow_map(docs, [id_col, text_col], run, "doc_id long, fp long")
+    own = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
+    rows = docs.select(*own, *(content_key(docs, *docs.columns) if with_keys else []))
+    return arrow_map(rows, rows.columns, run, ", ".join(f"{n} long" for n in names))
 
 
 def covering_masks(radius: int, bits: list[int]) -> list[int]:
@@ -179,33 +183,50 @@ def near_duplicates(
     """
     prints = stash(fingerprints(docs, width, seed, id_col, text_col), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = connected_components(fingerprint_links(classes.select("fp"), radius, bucket))
-    labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    named = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = labelled.join(named, "root").select("fp", "component_id")
+    by_print = _of_components(classes, F.min("low").alias("component_id"), radius, bucket)
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def _of_components(classes: DataFrame, summary: F.Column, radius: int, bucket: int) -> DataFrame:
+    """For each fingerprint of ``classes(fp, ...)`` the summary of its component."""
+    roots = connected_components(fingerprint_links(classes.select("fp"), radius, bucket))
+    labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = labelled.groupBy("root").agg(summary)
+    return labelled.select("fp", "root").join(named, "root").drop("root")
+
+
 def fingerprint_hex(fp) -> F.Column:
     """A fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
 def drop_near_duplicates(
-    docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    radius: int = 3,
+    width: int = 3,
+    seed: int = 42,
+    bucket: int = BUCKET,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
-    """The document with the smallest id of each component, all its columns.
+    """One row of each component, all its columns.
 
-    Rows repeated under one id count as one document.  Rows without an id
-    can't be told apart from others and stay.
+    It is the row with the smallest id; rows without an id come last, and rows
+    of one id are told apart by a 128-bit hash of their content.  Of rows equal in
+    all columns one stays.  Components are those of :func:`near_duplicates`, so a
+    null text is an empty one; an empty table gives an empty one.  Columns of any
+    name may stand beside the id and the text.
     """
-    found = near_duplicates(docs, radius, width, seed, id_col=id_col, text_col=text_col)
-    extra = stash(found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
-    kept = docs.join(extra, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    ids = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count()
-    if ids.where("count > 1").limit(1).count():
-        once = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        kept = once.unionByName(kept.where(F.col(id_col).isNull()))
-    return kept
+    prints = stash(fingerprints(docs, width, seed, id_col, text_col, with_keys=True), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
+    classes = prints.groupBy("fp").agg(F.min(row).alias("low"))
+    kept_row = _of_components(classes, F.min("low").alias("low"), radius, bucket)
+    lost = ~((F.col("k1") == F.col("low.k1")) & (F.col("k2") == F.col("low.k2")))
+    rows = prints.join(kept_row, "fp").groupBy("k1", "k2").agg(F.max(lost).alias("lost"), F.count(F.lit(1)).alias("n"))
+    marked = stash(rows.where("lost or n > 1"), "copies")
+    kept = without_content(docs, marked.where("lost"), *docs.columns)
+    again = marked.where("not lost")
+    if not again.limit(1).count():
+        return kept
+    twins = with_content_key(kept, *kept.columns).join(again, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
+    return without_content(kept, again, *kept.columns).unionByName(twins)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .blocks import (
     BLOCK, U, block_rows, by_segment, merged, mix, narrow, over_segments, owned, pack, read_arrays, remove, unpack, write_arrays,
 )
-from .common import arrow_map, scratch_path, spans_of_equal, utf8_values
+from .common import arrow_map, bounded_batches, scratch_path, spans_of_equal, utf8_values
 
 LENGTH = 200
 GRAM = 4
@@ -837,6 +837,7 @@ def strip_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     A character of which a byte goes is cut whole.  Null texts stay null.
     """
+    bounded_batches(docs.sparkSession)
     spans = RepeatedSpans(docs, text_col)
     marks, touched = spans.covered(), spans.touched
     place = docs.columns.index(text_col)
