@@ -43,6 +43,10 @@ class InvalidNamespace(DocError):
     code, code_name = 73, "InvalidNamespace"
 
 
+class WriteConflict(DocError):
+    code, code_name = 112, "WriteConflict"
+
+
 class DuplicateKey(DocError):
     code, code_name = 11000, "DuplicateKey"
 

@@ -23,8 +23,8 @@ def _numeric(v: V, name: str) -> V:
 
 
 def _ordinal(scope: Scope) -> Column:
-    """What earlier means: the keys of the last $sort, else the rows as they come."""
-    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(scope.order)]) if scope.order else F.monotonically_increasing_id()
+    """What earlier means: the keys of the last $sort."""
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(scope.order)])
 
 
 def accumulate(name: str, raw: Any, scope: Scope) -> V:
@@ -49,8 +49,11 @@ def accumulate(name: str, raw: Any, scope: Scope) -> V:
     if name in ("$min", "$max"):
         return V((F.min if name == "$min" else F.max)(v.col), kind)
     if name in ("$first", "$last"):
+        value = F.struct(v.col.alias("v"))
+        if not scope.order:  # any row may be the first
+            return V((F.first if name == "$first" else F.last)(value).getField("v"), kind)
         by = F.min_by if name == "$first" else F.max_by
-        return V(by(F.struct(v.col.alias("v")), _ordinal(scope)).getField("v"), kind)
+        return V(by(value, _ordinal(scope)).getField("v"), kind)
     if name == "$push":
         if v.missing:
             v = V(F.lit(None), NULL)
@@ -61,10 +64,12 @@ def accumulate(name: str, raw: Any, scope: Scope) -> V:
     if name == "$mergeObjects":
         if not v.is_struct:
             raise TypeMismatch("$mergeObjects requires objects", 40400)
-        last = {
-            f.name: V(F.max_by(F.struct(v.col.getField(f.name).alias("v")), F.when(v.col.isNotNull(), _ordinal(scope))).getField("v"), f.dataType) for f in v.type.fields
-        }
-        return struct_of(last)
+
+        def latest(f: T.StructField) -> Column:
+            value = F.when(v.col.isNotNull(), F.struct(v.col.getField(f.name).alias("v")))
+            return (F.max_by(value, F.when(v.col.isNotNull(), _ordinal(scope))) if scope.order else F.last(value, True)).getField("v")
+
+        return struct_of({f.name: V(latest(f), f.dataType) for f in v.type.fields})
     raise UnknownOperator(f"unknown group operator '{name}'", 15952)
 
 
@@ -99,10 +104,11 @@ class Windows:
         self.partition = partition
         self.order = order
         self.plain = Window.partitionBy(*(partition or [F.lit(0)]))
-        self.sorted = self.plain.orderBy(*self._keys()) if order else self.plain.orderBy(F.monotonically_increasing_id())
+        self.sorted = self.plain.orderBy(*self.order_keys())
 
-    def _keys(self) -> list[Column]:
-        return [c.asc_nulls_first() if d == 1 else c.desc_nulls_last() for c, d, _ in self.order]
+    def order_keys(self) -> list[Column]:
+        """The sort keys; without any the rows as they come."""
+        return [c.asc_nulls_first() if d == 1 else c.desc_nulls_last() for c, d, _ in self.order] or [F.monotonically_increasing_id()]
 
     def first_key(self) -> tuple[Column, int, T.DataType]:
         if not self.order:
@@ -155,27 +161,33 @@ def last_known(x: Column, w: Windows) -> Column:
     return F.last(x, True).over(w.sorted.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def moving_average(x: Column, alpha: float, w: Windows) -> Column:
-    """Exponential average as one running sum.
-
-    With a = 1 - alpha, the average after k known values x1..xk is
-    a^(k-1) x1 + alpha * sum of a^(k-i) xi, so it follows from the values of the
-    frame weighted by their distance.  Weights below 2^-1074 are zero, which
-    bounds how far back the frame has to reach.
-    """
-    known = F.sum(F.when(x.isNotNull(), 1).otherwise(0)).over(w.sorted.rowsBetween(Window.unboundedPreceding, 0))
-    values = F.collect_list(x).over(w.sorted.rowsBetween(-_reach(alpha), 0))
-
-    def fold(total: Column, v: Column) -> Column:
-        return F.when(total.isNull(), v).otherwise(v * alpha + total * (1 - alpha))
+#: Decimal orders of magnitude that the weights of one block span.
+_BLOCK_ORDERS = 100
 
-    return F.when(known > 0, F.aggregate(values, F.lit(None).cast(DOUBLE), fold))
 
+def moving_average(x: Column, alpha: float, w: Windows) -> Column:
+    """Exponential average of the known values so far; a null keeps the last.
 
-def _reach(alpha: float) -> int:
+    With a = 1 - alpha, the average after k known values is a sum of them with
+    weights a^(k-i).  Known values are dealt into blocks in which a^-j stays below
+    1e100.  Within a block the sum is a running one; from the block before it
+    takes that block's sum, and what lies further back weighs under 1e-100.
+    """
+    if alpha >= 1:
+        return last_known(x, w)
     import math
 
-    return 1 if alpha >= 1 else min(100_000, int(math.ceil(40 / -math.log1p(-alpha))))
+    a = 1 - alpha
+    size = max(1, int(_BLOCK_ORDERS / -math.log10(a)))
+    known = F.sum(F.when(x.isNotNull(), 1).otherwise(0)).over(w.sorted.rowsBetween(Window.unboundedPreceding, 0))
+    at = (known - 1) % size
+    block = F.floor((known - 1) / size)
+    weighted = F.when(x.isNotNull(), x * F.when(known == 1, 1.0).otherwise(alpha) * F.pow(F.lit(a), -at))
+    inside = Window.partitionBy(*(w.partition or [F.lit(0)]), block).orderBy(*w.order_keys()).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.pow(F.lit(a), at) * F.sum(weighted).over(inside)
+    ended = F.last(F.when(x.isNotNull() & (at == size - 1), own), True).over(w.sorted.rowsBetween(Window.unboundedPreceding, -1))
+    average = own + F.pow(F.lit(a), at + 1) * F.when(block > 0, ended).otherwise(0.0)
+    return last_known(F.when(x.isNotNull(), average), w)
 
 
 def window_value(name: str, raw: Any, window: dict | None, w: Windows, scope: Scope) -> V:

@@ -191,21 +191,42 @@ def geometries_meet(g: dict, h: dict) -> bool:
     return any(_in_area(p, a) for a in a2 for p in ends(p1, s1, a1)) or any(_in_area(p, a) for a in a1 for p in ends(p2, s2, a2))
 
 
+_NEAR = 1e-10
+
+
+def _on_edge(x: Column, y: Column, a: list, b: list) -> Column:
+    (ax, ay), (bx, by) = (tuple(map(float, p[:2])) for p in (a, b))
+    off = F.abs((y - ay) * (bx - ax) - (x - ax) * (by - ay)) <= _NEAR
+    return off & x.between(min(ax, bx) - _NEAR, max(ax, bx) + _NEAR) & y.between(min(ay, by) - _NEAR, max(ay, by) + _NEAR)
+
+
+def point_meets(x: Column, y: Column, g: dict) -> Column:
+    """Whether a point lies on or in a literal geometry, its borders included."""
+    points, segments, areas = _flat(g)
+    tests = [(F.abs(x - float(p[0])) <= _NEAR) & (F.abs(y - float(p[1])) <= _NEAR) for p in points]
+    tests += [_on_edge(x, y, a, b) for a, b in segments]
+    for rings in areas:
+        tests += [_on_edge(x, y, a, b) for ring in rings for a, b in zip(ring, ring[1:])]
+        tests.append(in_polygon(x, y, rings))
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+
+
 def intersects(v: V, spec: dict) -> Column:
-    """Column math for points against areas, else a vectorised Python function."""
+    """Column math for points; other geometries meet in a Python function, batch by batch."""
     g = check_geometry(spec["$geometry"])
     if v.missing:
         return F.lit(False)
     kind = v.type
-    if v.is_struct and "coordinates" in kind.names and not isinstance(kind["coordinates"].dataType, T.StringType):
+    if v.is_struct and "coordinates" in kind.names and isinstance(kind["coordinates"].dataType, T.ArrayType) and isinstance(kind["coordinates"].dataType.elementType, T.ArrayType):
         text = F.to_json(v.col)
     elif v.is_array or v.is_struct:
-        x, y = coordinates(v)
-        text = F.when(x.isNotNull() & y.isNotNull(), F.to_json(F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates"))))
+        # A flat list of numbers is a point, whatever else the field may hold.
+        return F.coalesce(point_meets(*coordinates(v), g), F.lit(False))
     elif v.is_string:
         text = v.col
     else:
         return F.lit(False)
+
     @F.pandas_udf("boolean")
     def meets(values: pd.Series) -> pd.Series:
         return values.map(lambda s: s is not None and geometries_meet(json.loads(s), g)).astype(bool)

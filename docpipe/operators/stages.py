@@ -107,49 +107,73 @@ def replace_with(df, spec, ctx):
     return replace_root(df, spec, ctx.scope(df))
 
 
-def sort_keys(df: DataFrame, spec: dict, scope: Scope) -> list[Column]:
-    """Nulls are lowest; an array sorts by its least or greatest element, [] lowest."""
+def sort_columns(spec: dict, scope: Scope) -> list[tuple[Column, int, T.DataType]]:
+    """Columns, directions and types to sort by; an array sorts by its least or greatest element, [] lowest."""
     keys = []
     for dotted, direction in spec.items():
         if direction not in (1, -1):
             raise DocError("a sort direction is 1 or -1", 15975)
         v = path(scope, dotted)
-        cols = [v.col]
         if v.is_array:
-            cols = [F.when(F.size(v.col) == 0, 0).otherwise(1), F.array_min(v.col) if direction == 1 else F.array_max(v.col)]
+            edge = F.array_min(v.col) if direction == 1 else F.array_max(v.col)
+            keys += [(F.when(F.size(v.col) == 0, 0).otherwise(1), direction, T.IntegerType()), (edge, direction, v.type.elementType)]
         elif v.is_map:
-            cols = [F.to_json(v.col)]
-        keys += [c.asc_nulls_first() if direction == 1 else c.desc_nulls_last() for c in cols]
+            keys.append((F.to_json(v.col), direction, STRING))
+        else:
+            keys.append((v.col, direction, v.type))
     return keys
 
 
+def sort_keys(df: DataFrame, spec: dict, scope: Scope) -> list[Column]:
+    """Nulls are lowest."""
+    return [c.asc_nulls_first() if d == 1 else c.desc_nulls_last() for c, d, _ in sort_columns(spec, scope)]
+
+
 @stage("$sort")
 def sort(df, spec, ctx):
-    if not isinstance(spec, dict) or not spec:
-        raise DocError("$sort needs at least one field", 15976)
-    scope = ctx.scope(df)
-    ctx.order = [_signed_key(path(scope, k), d) for k, d in spec.items()] if all(_orderable(path(scope, k)) for k in spec) else []
-    return df.orderBy(*sort_keys(df, spec, scope))
+    df = order_only(df, spec, ctx)
+    return df.orderBy(*sort_keys(df, spec, ctx.scope(df)))
 
 
-def _orderable(v: V) -> bool:
-    return v.is_number or v.is_date or v.is_string or v.is_bool or v.is_null
+@stage("$_order")
+def order_only(df, spec, ctx):
+    """A sort before a stage that takes the order from its keys: rows need not move."""
+    if not isinstance(spec, dict) or not spec:
+        raise DocError("$sort needs at least one field", 15976)
+    ctx.order = [growing(*key) for key in sort_columns(spec, ctx.scope(df))]
+    return df
 
 
-def _signed_key(v: V, direction: int) -> Column:
-    """A value that grows along the sort: for descending keys the negative.
+def growing(col: Column, direction: int, kind: T.DataType) -> Column:
+    """A value that grows along the sort, nulls included.
 
-    Descending texts have no negative; their order is left to the first key that has.
+    Descending texts become their negated codes, closed by a 1 that puts a text
+    behind those it begins; objects go part by part, arrays in them by their JSON.
     """
     if direction == 1:
-        return v.col
-    if v.is_number:
-        return -v.col
-    if v.is_date:
-        return -F.unix_micros(v.col.cast("timestamp"))
-    if v.is_bool:
-        return ~v.col
-    return F.transform(F.split(F.coalesce(v.col.cast(STRING), F.lit("")), ""), lambda c: -F.ascii(c))
+        return col
+    if isinstance(kind, T.IntegralType):
+        key = F.bitwise_not(col)  # unlike the negative it can't overflow
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        key = F.struct(~F.isnan(col), -col)
+    elif isinstance(kind, T.DecimalType):
+        key = -col
+    elif isinstance(kind, T.BooleanType):
+        key = ~col
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        key = -F.unix_micros(col.cast("timestamp"))
+    elif isinstance(kind, T.DateType):
+        key = -F.unix_date(col)
+    elif isinstance(kind, T.StructType):
+        key = F.struct(*[growing(col.getField(f.name), -1, f.dataType).alias(f.name) for f in kind.fields])
+    elif isinstance(kind, (T.ArrayType, T.MapType)):
+        return growing(F.to_json(col), -1, STRING)
+    elif isinstance(kind, T.NullType):
+        return F.lit(0)
+    else:
+        codes = F.transform(F.filter(F.split(col.cast(STRING), ""), lambda c: c != ""), lambda c: -F.ascii(c))
+        key = F.concat(codes, F.array(F.lit(1)))
+    return F.struct(col.isNull(), key)
 
 
 @stage("$limit")
@@ -309,18 +333,17 @@ def positioned(df: DataFrame, key: str, ties: list[Column]) -> DataFrame:
     A range partitioning sorts; each partition counts its own rows, and the
     counts before it, one for each partition, are added by a broadcast join.
     """
+    from ..sources.scratch import stash
+
     ordered = df.repartitionByRange(F.col(key), *ties).sortWithinPartitions(key, *ties)
-    numbered = ordered.withColumn("_m", F.monotonically_increasing_id())
-    part, place = F.shiftright(F.col("_m"), 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = numbered.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    row = F.monotonically_increasing_id()
+    part, place = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
+    # Written once: a second range partitioning might cut elsewhere.
+    numbered = stash(ordered.select("*", part.alias("_p"), place.alias("_place")), "positions")
+    counts = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.orderBy("_p")
     before = counts.select("_p", (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    return (
-        numbered.withColumn("_p", part)
-        .join(F.broadcast(before), "_p")
-        .withColumn("_position", place + F.col("_before") + 1)
-        .drop("_p", "_m", "_before")
-    )
+    return numbered.join(F.broadcast(before), "_p").withColumn("_position", F.col("_place") + F.col("_before") + 1).drop("_p", "_place", "_before")
 
 
 @stage("$facet")
@@ -453,7 +476,7 @@ def _lookup_pipeline(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     later = ([{"$match": rest}] if rest else []) + pipeline[1 if "$match" in (pipeline[0] if pipeline else {}) else 0 :]
     if not conditions and "$match" in (pipeline[0] if pipeline else {}):
         later = pipeline
-    joined = foreign.join(distinct, reduce(lambda a, b: a & b, on)) if on else foreign.crossJoin(F.broadcast(_small(distinct)))
+    joined = foreign.join(distinct, reduce(lambda a, b: a & b, on)) if on else foreign.crossJoin(distinct)
     keys = [f"_v_{k}" for k in values]
     rows = _run_keyed(joined, later, inner, keys)
     nested = rows.groupBy(*keys).agg(_ordered_rows(rows.drop(*keys), inner).alias("_found"))
@@ -464,16 +487,6 @@ def _lookup_pipeline(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     return out.withColumn(spec["as"], F.coalesce(F.col("_found"), F.array().cast(empty))).drop("_found", *keys, *[f"{k}_r" for k in keys])
 
 
-#: Distinct variable values that a lookup without a join condition may have.
-FREE_LOOKUP_VALUES = 10_000
-
-
-def _small(distinct: DataFrame) -> DataFrame:
-    if distinct.limit(FREE_LOOKUP_VALUES + 1).count() > FREE_LOOKUP_VALUES:
-        raise DocError("a $lookup pipeline over many values needs a leading $match with an $expr on its variables")
-    return distinct
-
-
 def _ordered_rows(rows: DataFrame, inner: Context) -> Column:
     whole = F.struct(*[F.col(name_of(c)) for c in rows.columns])
     if not inner.order:
@@ -490,7 +503,7 @@ def _run_keyed(df: DataFrame, pipeline: list[dict], ctx: Context, keys: list[str
         name, spec = next(iter(s.items()))
         if name == "$sort":
             scope = ctx.scope(df)
-            ctx.order = [_signed_key(path(scope, k), d) for k, d in spec.items()]
+            ctx.order = [growing(*key) for key in sort_columns(spec, scope)]
         elif name in ("$limit", "$skip"):
             ranked = df.withColumn("_rn", F.row_number().over(window.orderBy(*(ctx.order or [F.lit(1)]))))
             df = ranked.where(F.col("_rn") <= spec if name == "$limit" else F.col("_rn") > spec).drop("_rn")
@@ -591,13 +604,25 @@ def redact(df, spec, ctx):
     return rows.select(*[F.col("_root").getField(f.name).alias(f.name) for f in out.type.fields])
 
 
+#: Rows of a sample that are kept in order by each task and then by one.
+TOP_ROWS = 100_000
+
+
 @stage("$sample")
 def sample(df, spec, ctx):
     named(spec, "$sample", ("size",))
     if isinstance(spec["size"], bool) or not isinstance(spec["size"], (int, float)) or spec["size"] < 0:
         raise DocError("size argument to $sample must not be negative", 28747)
     ctx.order = []
-    return df.orderBy(F.rand()).limit(int(spec["size"]))
+    if int(spec["size"]) <= TOP_ROWS:
+        return df.orderBy(F.rand()).limit(int(spec["size"]))
+    # More rows than one task should hold: the lowest positions of a distributed order.
+    drawn = positioned(df.withColumn("_drawn", F.rand()), "_drawn", [])
+    return drawn.where(F.col("_position") <= int(spec["size"])).drop("_drawn", "_position", "_total")
+
+
+#: Grid points that one row of a $densify grid stands for before they are laid out.
+GRID_BLOCK = 10_000
 
 
 @stage("$densify")
@@ -624,16 +649,23 @@ def densify(df, spec, ctx):
         if keys and not by:
             spans = held.select(*keys).distinct().crossJoin(spans)  # one row
         inclusive = True
+    low, high = F.col("_lo"), F.col("_hi")
     if v.is_date and unit in UNIT_MONTHS:
-        count = F.floor((F.year("_hi") - F.year("_lo")) * 12 + F.month("_hi") - F.month("_lo")) / (step * UNIT_MONTHS[unit])
-        points = F.transform(F.sequence(F.lit(0), F.ceil(count).cast("int")), lambda i: plus(F.col("_lo"), unit, (i * step).cast(LONG)))
+        steps = F.ceil(F.floor((F.year(high) - F.year(low)) * 12 + F.month(high) - F.month(low)) / (step * UNIT_MONTHS[unit]))
+        point = lambda i: plus(low, unit, (i * step).cast(LONG))
     elif v.is_date:
         size = step * UNIT_MS[unit]
-        points = F.transform(F.sequence(F.lit(0).cast(LONG), F.floor((millis(F.col("_hi")) - millis(F.col("_lo"))) / size).cast(LONG)), lambda i: of_millis(millis(F.col("_lo")) + (i * size).cast(LONG)))
+        steps = F.floor((millis(high) - millis(low)) / size)
+        point = lambda i: of_millis(millis(low) + (i * size).cast(LONG))
     else:
-        points = F.transform(F.sequence(F.lit(0).cast(LONG), F.floor((F.col("_hi") - F.col("_lo")) / step).cast(LONG)), lambda i: (F.col("_lo") + i * step).cast(v.type))
-    end = (lambda x: x <= F.col("_hi")) if inclusive else (lambda x: x < F.col("_hi"))
-    grid = spans.where("_lo is not null and _lo <= _hi").select(*keys, F.explode(F.filter(points, end)).alias("_point"))
+        steps = F.floor((high - low) / step)
+        point = lambda i: (low + i * step).cast(v.type)
+    # A long grid is dealt out in blocks; no row holds all of it.
+    spans = spans.where("_lo is not null and _lo <= _hi").select(*keys, low, high, steps.cast(LONG).alias("_steps"))
+    blocks = spans.select("*", F.explode(F.sequence(F.lit(0).cast(LONG), F.col("_steps"), F.lit(GRID_BLOCK).cast(LONG))).alias("_block")).repartition("_block", *keys)
+    within = F.sequence(F.col("_block"), F.least(F.col("_steps"), F.col("_block") + (GRID_BLOCK - 1)))
+    grid = blocks.select(*keys, "_hi", F.explode(F.transform(within, point)).alias("_point"))
+    grid = grid.where(F.col("_point") <= high if inclusive else F.col("_point") < high).drop("_hi")
     there = held.select(*[k.alias(f"_p{i}") for i, k in enumerate(keys)], v.col.alias("_at")).distinct()
     same = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate(keys)], F.col("_point") == F.col("_at"))
     new = grid.join(there, same, "left_anti").select(*keys, F.col("_point").cast(v.type).alias(name))

@@ -22,7 +22,7 @@ from .operators.match import compile_filter
 from .operators.projection import fields_of, find_projection, put, select
 from .operators.stages import Context, run_pipeline, sort_keys
 from .operators.update import Updater, check_replacement, check_update, upsert_seed
-from .sources.catalog import ID_INDEX, Catalog, check_name
+from .sources.catalog import ID_INDEX, Catalog, atomic, check_name
 from .sources.documents import document_of, frame_of
 from .sources.json_files import read_json
 
@@ -272,8 +272,12 @@ class Collection:
 
     list_indexes = indexes
 
+    def _usable_indexes(self) -> list[dict]:
+        """Hidden indexes serve neither hints nor look-ups."""
+        return [i for i in self.indexes() if not i.get("hidden")]
+
     def _text_fields(self) -> list[str] | None:
-        for index in self.indexes():
+        for index in self._usable_indexes():
             fields = [f for f, kind in index["key"].items() if kind == "text"]
             if fields:
                 return fields
@@ -293,7 +297,7 @@ class Collection:
 
     def _near(self, df: DataFrame, near: tuple[str, dict], scope: Scope) -> DataFrame:
         name, spec = near
-        kinds = [i["key"][name] for i in self.indexes() if i["key"].get(name) in ("2d", "2dsphere")]
+        kinds = [i["key"][name] for i in self._usable_indexes() if i["key"].get(name) in ("2d", "2dsphere")]
         if not kinds:
             raise IndexNotFound("unable to find index for $geoNear query")
         op = "$nearSphere" if "$nearSphere" in spec else "$near"
@@ -313,7 +317,7 @@ class Collection:
     def _check_hint(self, hint: Any) -> None:
         if isinstance(hint, dict) and "$natural" in hint:
             return
-        if not any(i["name"] == hint or i["key"] == hint for i in self.indexes()):
+        if not any(i["name"] == hint or i["key"] == hint for i in self._usable_indexes()):
             raise BadHint("error processing query: hint provided does not correspond to an existing index")
 
     def find(self, filter: dict | None = None, projection: dict | None = None) -> FindCursor:
@@ -326,7 +330,7 @@ class Collection:
 
     def aggregate(self, pipeline: list[dict]) -> Cursor:
         ctx = self.db.context()
-        ctx.indexes = self.indexes
+        ctx.indexes = self._usable_indexes
         return Cursor(run_pipeline(self.frame(), pipeline, ctx))
 
     def count_documents(self, filter: dict | None = None) -> int:
@@ -362,6 +366,7 @@ class Collection:
         if self.db.tables:
             raise IllegalOperation("the database is read-only")
 
+    @atomic
     def _commit(self, df: DataFrame) -> None:
         self._writable()
         if ORDINAL not in df.columns:
@@ -407,6 +412,7 @@ class Collection:
         self.insert_frame(frame_of(self.spark, docs))
         return {"acknowledged": True, "inserted_count": len(docs), "inserted_ids": [d["_id"] for d in docs]}
 
+    @atomic
     def insert_frame(self, df: DataFrame) -> None:
         """Append the rows of a frame, whatever their number."""
         self._writable()
@@ -432,6 +438,7 @@ class Collection:
         first = rows.select(ORDINAL).limit(1).collect()
         return df, F.col(ORDINAL) == (first[0][0] if first else -1)
 
+    @atomic
     def _update(self, filter: dict, update: dict, one: bool, upsert: bool, array_filters: list[dict] | None, sort: dict | None = None) -> dict:
         self._writable()
         check_update(update)
@@ -488,6 +495,7 @@ class Collection:
         new = frame_of(self.spark, [{"_id": old, **{k: v for k, v in doc.items() if k != "_id"}}]).withColumn(ORDINAL, F.lit(ordinal).cast(LONG))
         self._commit(self._aligned(df.where(F.col(ORDINAL) != ordinal), new))
 
+    @atomic
     def replace_one(self, filter: dict, doc: dict, upsert: bool = False) -> dict:
         self._writable()
         check_replacement(doc)
@@ -503,6 +511,7 @@ class Collection:
             result |= {"upserted_id": new["_id"], "upserted_count": 1}
         return result
 
+    @atomic
     def _delete(self, filter: dict, one: bool) -> dict:
         self._writable()
         df, hit = self._target(filter, one)
@@ -527,6 +536,7 @@ class Collection:
         row = find_projection(row, projection, Scope(row.schema)) if projection else row
         return document_of(row.first())
 
+    @atomic
     def find_one_and_delete(self, filter: dict, sort: dict | None = None, projection: dict | None = None) -> dict | None:
         df, at = self._one(filter, sort)
         if at is None:
@@ -535,6 +545,7 @@ class Collection:
         self._commit(df.where(F.col(ORDINAL) != at))
         return out
 
+    @atomic
     def find_one_and_replace(self, filter: dict, doc: dict, sort=None, projection=None, return_document: str = "before", upsert: bool = False) -> dict | None:
         check_replacement(doc)
         df, at = self._one(filter, sort)
@@ -547,6 +558,7 @@ class Collection:
         self._rewrite(df, at, doc)
         return before if return_document == "before" else self._shown(self._raw(), at, projection)
 
+    @atomic
     def find_one_and_update(self, filter: dict, update: dict, sort=None, projection=None, return_document: str = "before", upsert: bool = False) -> dict | None:
         df, at = self._one(filter, sort)
         before = self._shown(df, at, projection) if at is not None else None
@@ -555,6 +567,7 @@ class Collection:
             return self.find_one({"_id": result["upserted_id"]}, projection) if upsert and return_document == "after" else None
         return before if return_document == "before" else self._shown(self._raw(), at, projection)
 
+    @atomic
     def bulk_write(self, ops: list[dict], ordered: bool = True) -> dict:
         """Operations one after the other; unordered ones go on after errors."""
         total = {"inserted_count": 0, "matched_count": 0, "modified_count": 0, "deleted_count": 0, "upserted_count": 0, "upserted_ids": {}}
@@ -586,8 +599,13 @@ class Collection:
             raise BulkWriteError(errors, total)
         return total
 
+    @atomic
     def _merge_rows(self, spec: dict, df: DataFrame) -> None:
-        """Upsert all rows by one full outer join on the ``on`` fields."""
+        """Upsert all rows by one full outer join on the ``on`` fields.
+
+        In the mode merge every field that the new rows have replaces the old one,
+        by null as well.  Of several new rows with one key the last counts.
+        """
         on = spec.get("on", "_id")
         on = [on] if isinstance(on, str) else list(on)
         matched, unmatched = spec.get("whenMatched", "merge"), spec.get("whenNotMatched", "insert")
@@ -599,7 +617,11 @@ class Collection:
             old = frame_of(self.spark, [], T.StructType([*df.schema.fields, T.StructField(ORDINAL, LONG)]))
         top = old.agg(F.max(ORDINAL)).first()[0]
         a = old.select(F.struct(*[F.col(name_of(c)) for c in old.columns if c != ORDINAL]).alias("a"), F.col(ORDINAL).alias("o"), *[F.col(name_of(k)).alias(f"ka{i}") for i, k in enumerate(on)])
-        b = df.select(F.struct(*[F.col(name_of(c)) for c in df.columns]).alias("b"), *[F.col(name_of(k)).alias(f"kb{i}") for i, k in enumerate(on)])
+        keys = [f"kb{i}" for i in range(len(on))]
+        b = df.select(F.struct(*[F.col(name_of(c)) for c in df.columns]).alias("b"), *[F.col(name_of(k)).alias(n) for k, n in zip(on, keys)])
+        # Rows that share a key come one after the other: the last one wins, with keepExisting the first.
+        pick = F.min_by if matched == "keepExisting" else F.max_by
+        b = b.withColumn("i", F.monotonically_increasing_id()).groupBy(*keys).agg(pick("b", "i").alias("b"))
         same = reduce(lambda x, y: x & y, [F.col(f"ka{i}").eqNullSafe(F.col(f"kb{i}")) for i in range(len(on))])
         how = {"insert": "full", "discard": "left", "fail": "full"}[unmatched]
         joined = a.join(b, same, how)
@@ -620,8 +642,6 @@ class Collection:
         for n in names:
             x, y = get_field(va, n), get_field(vb, n)
             z = get_field(merged, n) if merged else (y if not y.missing else x)
-            if merged is None and not y.missing and not x.missing:
-                z = V(F.coalesce(y.col.cast(common_type([x.type, y.type])), x.col.cast(common_type([x.type, y.type]))), common_type([x.type, y.type]))
             kind = common_type([v.type for v in (x, y, z) if not v.missing])
             part = lambda v: v.cast(kind).col if not v.missing else F.lit(None).cast(kind)
             fields[n] = V(F.when(both, part(z)).when(F.col("b").isNull(), part(x)).otherwise(part(y)), kind)
@@ -650,6 +670,7 @@ class Collection:
 
     # --- administration ---
 
+    @atomic
     def drop(self) -> bool:
         self._writable()
         return self.db.catalog.drop(self.name)
@@ -668,6 +689,7 @@ class Collection:
         self.db.catalog.files.rename(self.db.catalog.folder(self.name), self.db.catalog.folder(new))
         self.name = new
 
+    @atomic
     def create_index(self, keys: dict | str, **options: Any) -> str:
         """Checked and kept as metadata; statistics of Parquet files do the skipping."""
         self._writable()
@@ -690,6 +712,7 @@ class Collection:
     def create_indexes(self, specs: list[dict]) -> list[str]:
         return [self.create_index(s["key"], **{k: v for k, v in s.items() if k != "key"}) for s in specs]
 
+    @atomic
     def drop_index(self, index: Any) -> None:
         self._writable()
         state = self.db.catalog.state(self.name)
@@ -728,6 +751,17 @@ def check_index(keys: dict, options: dict) -> None:
             raise CannotCreateIndex("TTL indexes are single-field indexes, not on _id")
         if isinstance(options["expireAfterSeconds"], bool) or not isinstance(options["expireAfterSeconds"], (int, float)) or options["expireAfterSeconds"] < 0:
             raise CannotCreateIndex("expireAfterSeconds must be a non-negative number")
+        if options["expireAfterSeconds"] > 2_147_483_647:
+            raise CannotCreateIndex("expireAfterSeconds must be at most 2147483647")
+    if "hidden" in options and not isinstance(options["hidden"], bool):
+        raise TypeMismatch("hidden must be a boolean")
+    weights = options.get("weights", {})
+    if not isinstance(weights, dict):
+        raise TypeMismatch("weights must be an object")
+    if any(isinstance(w, bool) or not isinstance(w, (int, float)) or not 1 <= w <= 99_999 for w in weights.values()):
+        raise CannotCreateIndex("a weight is a number from 1 to 99999")
+    if "collation" in options and not (isinstance(options["collation"], dict) and isinstance(options["collation"].get("locale"), str) and options["collation"]["locale"]):
+        raise CannotCreateIndex("a collation needs a locale")
     if "hashed" in kinds:
         if options.get("unique"):
             raise CannotCreateIndex("hashed indexes can't be unique")

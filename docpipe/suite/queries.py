@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import Engine
+from .writes import WRITES
 
 D = dt.datetime
 REVENUE = {"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}
@@ -183,6 +184,24 @@ expr("q_nops", "embeddings", "vec_id", {"a": {"$last": {"$firstN": {"n": 3, "inp
 _O = {"a": "$o_orderkey", "b": "$o_custkey"}
 expr("q_objects", "orders", "o_orderkey", {"n": {"$size": {"$objectToArray": _O}}, "m": {"$getField": {"field": "b", "input": {"$mergeObjects": [_O, {"b": 9}]}}}, "s": {"$getField": {"field": "c", "input": {"$setField": {"field": "c", "input": _O, "value": "$o_custkey"}}}}, "k": {"$getField": {"field": "x", "input": {"$arrayToObject": [[["x", "$o_custkey"], ["y", 2]]]}}}, "t": {"$type": "$o_orderstatus"}, "i": {"$isNumber": "$o_orderkey"}}, "2::BIGINT AS n, 9::BIGINT AS m, o_custkey AS s, o_custkey AS k, 'string' AS t, true AS i")
 
+_SMALL = {"$divide": [{"$mod": ["$o_custkey", 1000]}, 1001]}
+expr("q_trig_more", "orders", "o_orderkey", {k: {"$round": [{f"${k}": _SMALL}, 8]} for k in ("tan", "acos", "sinh", "cosh", "atanh")} | {"acosh": {"$round": [{"$acosh": {"$add": [1, _SMALL]}}, 8]}}, ", ".join(f"round({k}((o_custkey % 1000) / 1001.0::DOUBLE), 8) AS {k}" for k in ("tan", "acos", "sinh", "cosh", "atanh")) + ", round(acosh(1 + (o_custkey % 1000) / 1001.0::DOUBLE), 8) AS acosh")
+expr("q_trims", "part", "p_partkey", {"l": {"$ltrim": {"input": {"$concat": ["  ", "$p_brand", " "]}}}, "r": {"$rtrim": {"input": {"$concat": [" ", "$p_brand", "  "]}}}, "lc": {"$ltrim": {"input": "$p_name", "chars": "sremd"}}, "rc": {"$rtrim": {"input": "$p_name", "chars": "gnit"}}}, "p_brand || ' ' AS l, ' ' || p_brand AS r, ltrim(p_name, 'sremd') AS lc, rtrim(p_name, 'gnit') AS rc")
+expr("q_convert_more", "orders", "o_orderkey", {"d": {"$toDouble": {"$toDecimal": "$o_totalprice"}}, "o": {"$toString": {"$toObjectId": {"$concat": ["00000000000000000", {"$substrCP": [{"$toString": {"$add": ["$o_orderkey", 1000000]}}, 0, 7]}]}}}}, "o_totalprice AS d, '00000000000000000' || substr((o_orderkey + 1000000)::VARCHAR, 1, 7) AS o")
+expr("q_rand", "orders", "o_orderkey", {"ok": {"$let": {"vars": {"r": {"$rand": {}}}, "in": {"$and": [{"$gte": ["$$r", 0]}, {"$lt": ["$$r", 1]}]}}}}, "true AS ok")
+_PIECE = {"$substrCP": ["$o_orderpriority", 0, {"$add": [1, {"$mod": ["$o_orderkey", 4]}]}]}
+_PIECE_SQL = "substr(o_orderpriority, 1, CAST(o_orderkey % 4 + 1 AS INTEGER))"
+add("q_push_desc_string", "orders", [{"$addFields": {"p": _PIECE}}, {"$sort": {"p": -1, "o_orderkey": 1}}, {"$group": {"_id": "$o_custkey", "ps": {"$push": "$p"}, "first": {"$first": "$p"}, "last": {"$last": "$p"}}}, {"$project": {"_id": 0, "cust": "$_id", "first": 1, "last": 1, "ps": {"$reduce": {"input": "$ps", "initialValue": "", "in": {"$concat": ["$$value", ",", "$$this"]}}}}}], f"SELECT o_custkey AS cust, max({_PIECE_SQL}) AS first, min({_PIECE_SQL}) AS last, string_agg(',' || {_PIECE_SQL}, '' ORDER BY {_PIECE_SQL} DESC) AS ps FROM orders GROUP BY ALL")
+add("q_first_desc_nulls", "orders", [{"$addFields": {"p": {"$cond": [{"$eq": ["$o_orderstatus", "F"]}, None, _PIECE]}, "n": {"$cond": [{"$eq": ["$o_orderstatus", "O"]}, None, "$o_totalprice"]}}}, {"$sort": {"p": -1, "n": -1, "o_orderkey": -1}}, {"$group": {"_id": "$o_custkey", "first": {"$first": "$o_orderkey"}, "last": {"$last": "$o_orderkey"}}}, {"$project": {"_id": 0, "cust": "$_id", "first": 1, "last": 1}}], f"SELECT o_custkey AS cust, first(o_orderkey ORDER BY p DESC NULLS LAST, n DESC NULLS LAST, o_orderkey DESC) AS first, last(o_orderkey ORDER BY p DESC NULLS LAST, n DESC NULLS LAST, o_orderkey DESC) AS last FROM (SELECT *, CASE WHEN o_orderstatus <> 'F' THEN {_PIECE_SQL} END AS p, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice END AS n FROM orders) GROUP BY ALL")
+add("q_lookup_desc_string", "customer", [{"$lookup": {"from": "orders", "let": {"c": "$c_custkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$o_custkey", "$$c"]}}}, {"$project": {"_id": 0, "o_orderkey": 1, "p": _PIECE}}, {"$sort": {"p": -1, "o_orderkey": -1}}, {"$limit": 2}], "as": "top"}}, {"$unwind": "$top"}, {"$project": {"_id": 0, "c_custkey": 1, "key": "$top.o_orderkey"}}], f"SELECT o_custkey AS c_custkey, o_orderkey AS key FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_PIECE_SQL} DESC, o_orderkey DESC) <= 2")
+add("q_match_all_words", "part", [{"$addFields": {"words": {"$split": ["$p_name", " "]}}}, {"$match": {"words": {"$all": ["red", "bolt"]}}}, keep("p_partkey")], "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'red') AND list_contains(string_split(p_name, ' '), 'bolt')")
+add("q_match_jsonschema_arrays", "embeddings", [{"$match": {"$jsonSchema": {"properties": {"embedding": {"bsonType": "array", "minItems": 64, "maxItems": 64, "uniqueItems": True, "items": {"bsonType": "number", "maximum": 0.375}}}}}}, keep("vec_id")], "SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND list_max(embedding) <= 0.375::FLOAT AND len(list_distinct(embedding)) = 64")
+add("q_sample_members", "orders", [{"$sample": {"size": 1000000000}}, keep("o_orderkey", "o_custkey")], "SELECT o_orderkey, o_custkey FROM orders")
+add("q_ema_nulls", "events", [{"$addFields": {"v": {"$cond": [{"$lt": [{"$mod": ["$event_id", 11]}, 2]}, "$value", None]}}}, {"$setWindowFields": {"partitionBy": {"u": "$user_id"}, "sortBy": {"ts": 1}, "output": {"x": {"$expMovingAvg": {"input": "$v", "alpha": 0.9}}, "y": {"$expMovingAvg": {"input": "$v", "N": 40}}}}}, keep("event_id", x={"$round": ["$x", 5]}, y={"$round": ["$y", 5]})], """WITH RECURSIVE h AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 11 < 2 THEN value END AS v FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM h WHERE v IS NOT NULL),
+r AS (SELECT event_id, user_id, i, v AS x, v AS y FROM n WHERE i = 1 UNION ALL SELECT n.event_id, n.user_id, n.i, n.v * 0.9::DOUBLE + r.x * (1 - 0.9::DOUBLE), n.v * (2 / 41.0::DOUBLE) + r.y * (1 - 2 / 41.0::DOUBLE) FROM n JOIN r ON n.user_id = r.user_id AND n.i = r.i + 1)
+SELECT h.event_id, round(last_value(r.x IGNORE NULLS) OVER w, 5) AS x, round(last_value(r.y IGNORE NULLS) OVER w, 5) AS y FROM h LEFT JOIN r ON h.event_id = r.event_id WINDOW w AS (PARTITION BY h.user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
+
 # --- geo ---
 _LOC = {"$addFields": {"loc": {"type": "Point", "coordinates": [{"$subtract": [{"$mod": ["$c_custkey", 360]}, 180]}, {"$subtract": [{"$mod": [{"$multiply": ["$c_custkey", 7]}, 170]}, 85]}]}}}
 _XY = "SELECT c_custkey, (c_custkey % 360) - 180 AS x, ((c_custkey * 7) % 170) - 85 AS y FROM customer"
@@ -192,6 +211,14 @@ add("q_geo_sphere", "customer", [_LOC, {"$match": {"loc": {"$geoWithin": {"$cent
 add("q_geo_polygon", "customer", [_LOC, {"$match": {"loc": {"$geoWithin": {"$geometry": {"type": "Polygon", "coordinates": [[[0.5, 0.5], [60.5, 0.5], [60.5, 40.5], [0.5, 40.5], [0.5, 0.5]]]}}}}}, keep("c_custkey")], f"SELECT c_custkey FROM ({_XY}) WHERE x > 0.5 AND x < 60.5 AND y > 0.5 AND y < 40.5")
 add("q_geo_intersects", "customer", [_LOC, {"$match": {"loc": {"$geoIntersects": {"$geometry": {"type": "LineString", "coordinates": [[-180, 0], [180, 0]]}}}}}, keep("c_custkey")], f"SELECT c_custkey FROM ({_XY}) WHERE y = 0")
 
+add("q_geo_center", "customer", [_LOC, {"$match": {"loc": {"$geoWithin": {"$center": [[10, 20], 25.5]}}}}, keep("c_custkey")], f"SELECT c_custkey FROM ({_XY}) WHERE sqrt((x - 10) * (x - 10) + (y - 20) * (y - 20)) <= 25.5")
+add("q_geo_triangle", "customer", [_LOC, {"$match": {"loc": {"$geoWithin": {"$polygon": [[-50.5, -40.25], [70.5, -40.25], [10.5, 60.75]]}}}}, keep("c_custkey")], f"SELECT c_custkey FROM ({_XY}) WHERE y > -40.25 AND (x + 50.5) * 101 > (y + 40.25) * 61 AND (70.5 - x) * 101 > (y + 40.25) * 60")
+_HOLE = [[[0.5, 0.5], [60.5, 0.5], [60.5, 40.5], [0.5, 40.5], [0.5, 0.5]], [[10.5, 10.5], [30.5, 10.5], [30.5, 25.5], [10.5, 25.5], [10.5, 10.5]]]
+_IN_HOLE = "x > 0.5 AND x < 60.5 AND y > 0.5 AND y < 40.5 AND NOT (x > 10.5 AND x < 30.5 AND y > 10.5 AND y < 25.5)"
+add("q_geo_hole", "customer", [_LOC, {"$match": {"loc": {"$geoWithin": {"$geometry": {"type": "Polygon", "coordinates": _HOLE}}}}}, keep("c_custkey")], f"SELECT c_custkey FROM ({_XY}) WHERE {_IN_HOLE}")
+add("q_geo_meets_area", "customer", [_LOC, {"$match": {"loc": {"$geoIntersects": {"$geometry": {"type": "MultiPolygon", "coordinates": [_HOLE, [[[-20, -20], [-10, -20], [-10, -10], [-20, -10], [-20, -20]]]]}}}}}, keep("c_custkey")], f"SELECT c_custkey FROM ({_XY}) WHERE ({_IN_HOLE}) OR (x BETWEEN -20 AND -10 AND y BETWEEN -20 AND -10)")
+add("q_geo_lines", "customer", [{"$addFields": {"line": {"type": "LineString", "coordinates": [[{"$mod": ["$c_custkey", 50]}, -1.5], [{"$mod": ["$c_custkey", 50]}, 1.5]]}}}, {"$match": {"line": {"$geoIntersects": {"$geometry": {"type": "LineString", "coordinates": [[9.5, 0.25], [30.5, 0.25]]}}}}}, keep("c_custkey")], "SELECT c_custkey FROM customer WHERE c_custkey % 50 BETWEEN 10 AND 30")
+
 # --- documents ---
 add("q_documents", "", [{"$documents": [{"x": 1, "y": "a"}, {"x": 2, "y": None}, {"x": 3}]}, {"$match": {"y": None}}, keep("x")], "SELECT * FROM (VALUES (2::BIGINT), (3::BIGINT)) t(x)")
 add("q_redact", "nation", [{"$addFields": {"in": {"key": "$n_regionkey", "v": "$n_name"}}}, {"$redact": {"$cond": [{"$eq": ["$key", 2]}, "$$PRUNE", "$$DESCEND"]}}, {"$project": {"_id": 0, "n_nationkey": 1, "v": "$in.v"}}], "SELECT n_nationkey, CASE WHEN n_regionkey <> 2 THEN n_name END AS v FROM nation")
@@ -297,12 +324,12 @@ WRITTEN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _runner(collection, pipeline) for name, (collection, pipeline, _) in CATALOGUE.items()}
-    return out | {"q_find_sort_page": _find_page, "q_distinct": _distinct} | {name: fn for name, (fn, _) in WRITTEN.items()}
+    return out | {"q_find_sort_page": _find_page, "q_distinct": _distinct} | {name: fn for name, (fn, _) in (WRITTEN | WRITES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: sql for name, (_, _, sql) in CATALOGUE.items() if sql}
-    return out | {name: sql for name, (_, sql) in WRITTEN.items()} | {
+    return out | {name: sql for name, (_, sql) in (WRITTEN | WRITES).items()} | {
         "q_find_sort_page": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10",
         "q_distinct": "SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderstatus = 'F'",
     }

@@ -123,3 +123,52 @@ def test_administration(coll, db):
         db.collection("nowhere").rename("x")
     assert db.collection("moved").drop() and not db.collection("moved").drop()
     assert db.drop_database()
+
+
+def test_writers_in_threads_lose_no_update(db):
+    """Updates of shared documents from several threads, with reads between."""
+    import threading
+
+    db.n.insert_many([{"_id": i, "count": 0} for i in range(4)])
+    errors = []
+
+    def work(k):
+        try:
+            for i in range(3):
+                db.n.update_one({"_id": (k + i) % 4}, {"$inc": {"count": 1}})
+                assert db.n.count_documents({}) == 4
+        except Exception as error:  # noqa: BLE001
+            errors.append(error)
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and sum(d["count"] for d in db.n.find().to_list()) == 12
+
+
+def test_a_writer_that_comes_second_starts_again(spark, db):
+    """Two processes are two catalogs that share no lock: the later pointer is refused, and the write repeated."""
+    from docpipe import Engine
+    from docpipe.sources import catalog as catalogs
+
+    db.n.insert_many([{"_id": 1, "count": 0}])
+    other = Engine(spark, db.engine.root).connect().db("test")
+    raced = []
+    real = catalogs.Catalog.save
+
+    def save(self, name, state):
+        if self is db.catalog and not raced:
+            raced.append(1)
+            saved, catalogs._locks = catalogs._locks, {}  # the other process knows nothing of this one's locks
+            other.n.update_one({"_id": 1}, {"$inc": {"count": 10}})
+            catalogs._locks = saved
+        return real(self, name, state)
+
+    catalogs.Catalog.save = save
+    try:
+        db.n.update_one({"_id": 1}, {"$inc": {"count": 1}})
+    finally:
+        catalogs.Catalog.save = real
+    assert raced and db.n.find_one({"_id": 1})["count"] == 11

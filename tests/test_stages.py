@@ -162,3 +162,25 @@ def test_geometry(docs):
     rows = [{"_id": 1, "p": [1, 1]}, {"_id": 2, "p": [9, 9]}]
     assert ids(docs(rows, [{"$match": {"p": {"$geoWithin": {"$center": [[0, 0], 2]}}}}])) == [1]
     assert ids(docs(rows, [{"$match": {"p": {"$geoIntersects": {"$geometry": square}}}}])) == [1]
+
+
+def test_average_over_long_gaps(spark):
+    """The average stays over any number of nulls, and reaches back over any number of values."""
+    from docpipe import Engine
+
+    for alpha in (2 / 3, 0.999, 1e-4, 1.0):
+        rows = [(i, float(i % 17) if i % 60 in (0, 7) else None) for i in range(700)]
+        df = spark.createDataFrame(rows, "t int, v double")
+        got = Engine(spark).from_frames({"r": df}).r.aggregate([{"$setWindowFields": {"sortBy": {"t": 1}, "output": {"x": {"$expMovingAvg": {"input": "$v", "alpha": alpha}}}}}]).to_df()
+        want, last = {}, None
+        for t, v in rows:
+            last = v if last is None else last if v is None else alpha * v + (1 - alpha) * last
+            want[t] = last
+        for r in got.collect():
+            assert abs(r.x - want[r.t]) < 1e-9
+
+
+def test_pushes_follow_descending_texts(docs):
+    rows = [{"k": k} for k in ("b", "ab", "a", "", None, "abc", "é", "z")]
+    got = docs(rows, [{"$sort": {"k": -1}}, {"$group": {"_id": None, "ks": {"$push": "$k"}, "first": {"$first": "$k"}, "last": {"$last": "$k"}}}])
+    assert got[0]["ks"] == ["é", "z", "b", "abc", "ab", "a", "", None] and got[0]["first"] == "é" and got[0]["last"] is None
