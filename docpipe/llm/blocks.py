@@ -15,8 +15,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import spans_of_equal
 
@@ -32,22 +34,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+#: Masks that leave the first 0 to 8 bytes of a little-endian word.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Longer pieces are hashed one by one.
+_LONG_PIECE = 1024
+
+
+def piece_hashes(padded: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces of a byte array that has eight bytes to spare at its end.
+
+    A piece is taken eight bytes at a time, all pieces side by side; a hash
+    depends on the bytes of its piece alone.
+    """
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    out = mix(sizes.astype(U) + U(0x9E3779B97F4A7C15))
+    live = np.arange(len(starts))
+    if len(sizes) and int(sizes.max()) > _LONG_PIECE:
+        long = sizes > _LONG_PIECE
+        for k in np.flatnonzero(long).tolist():
+            out[k] = xxhash.xxh64_intdigest(padded[starts[k] : starts[k] + sizes[k]].tobytes())
+        live = np.flatnonzero(~long)
+    at, rest = starts[live], sizes[live]
+    while len(live):
+        part = words[at] & _FIRST_BYTES[np.minimum(rest, 8)]
+        out[live] = mix(out[live] ^ part)
+        more = np.flatnonzero(rest > 8)
+        live, at, rest = live[more], at[more] + 8, rest[more] - 8
+    return out
+
+
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit integers as one block; best if the first is sorted."""
-    parts = []
+    """Columns of 64-bit integers as one block; best if the first is sorted.
+
+    Each column keeps only the bytes that its largest value needs.
+    """
+    widths, parts = [], []
     for i, c in enumerate(columns):
         c = np.ascontiguousarray(c).astype(U)
         c = np.diff(c, prepend=U(0)) if i == 0 else c
-        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes())
-    return zstd.ZstdCompressor(level=1).compress(b"".join(parts))
+        widths.append(max(1, -(-int(c.max()).bit_length() // 8)) if len(c) else 1)
+        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T[: widths[-1]]).tobytes())
+    return zstd.ZstdCompressor(level=1).compress(bytes(widths) + b"".join(parts))
 
 
 def unpack(block: bytes, columns: int) -> list[np.ndarray]:
     data = np.frombuffer(zstd.ZstdDecompressor().decompress(block), np.uint8)
-    n = len(data) // (8 * columns)
-    out = []
-    for i in range(columns):
-        c = np.ascontiguousarray(data[i * 8 * n : (i + 1) * 8 * n].reshape(8, n).T).view(U).reshape(-1)
+    widths = data[:columns].tolist()
+    n = (len(data) - columns) // sum(widths)
+    out, at = [], columns
+    for i, width in enumerate(widths):
+        c = np.zeros((n, 8), np.uint8)
+        c[:, :width] = data[at : at + width * n].reshape(width, n).T
+        at += width * n
+        c = c.view(U).reshape(-1)
         out.append(np.cumsum(c, dtype=U) if i == 0 else c)
     return out
 
@@ -68,8 +107,8 @@ def block_rows(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
 
 
 def owned(blocks: DataFrame, segments: int) -> DataFrame:
-    """All blocks of a segment in one task, one segment after the other."""
-    return blocks.select("kind", "segment", "block").repartition(segments, "segment").sortWithinPartitions("segment")
+    """All blocks of a segment in a task of its own; segment -1 joins the last."""
+    return blocks.select("kind", "segment", "block").repartitionById(segments, F.pmod("segment", F.lit(segments))).sortWithinPartitions("segment")
 
 
 def by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
@@ -110,6 +149,35 @@ def write_arrays(uri: str, arrays: list[np.ndarray]) -> None:
     system.move(part, path)
 
 
+#: Bytes of files that a worker keeps where they can't be mapped into memory.
+KEPT_BYTES = 256 << 20
+
+
+class OpenFiles:
+    """Files of arrays by address: mapped ones stay open, others as long as there is room."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, list[np.ndarray]] = {}
+        self.size = 0
+
+    def __getstate__(self):
+        return {"held": {}, "size": 0}
+
+    def get(self, uri: str) -> list[np.ndarray]:
+        found = self.held.pop(uri, None)
+        if found is None:
+            found = read_arrays(uri)
+            self.size += _bytes_in_memory(found)
+        self.held[uri] = found  # the last used stands last
+        while self.size > KEPT_BYTES and len(self.held) > 1:
+            self.size -= _bytes_in_memory(self.held.pop(next(iter(self.held))))
+        return found
+
+
+def _bytes_in_memory(arrays: list[np.ndarray]) -> int:
+    return sum(a.nbytes for a in arrays if not isinstance(a, np.memmap))
+
+
 def read_arrays(uri: str) -> list[np.ndarray]:
     """The arrays of a file, mapped into memory where the file system allows."""
     from pyarrow import fs

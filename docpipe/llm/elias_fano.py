@@ -17,6 +17,8 @@ for _b in range(256):
     for _k, _i in enumerate(i for i in range(8) if _b >> i & 1):
         _SELECT[_b, _k] = _i
 _U = np.uint64
+#: Runs of equal high parts that are searched one by one.
+_FEW = 8
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -75,14 +77,9 @@ class EliasFano:
     def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
         """Places of the k-th set (or clear) bits, counted from 0."""
         if zeros:
-            # Clear bits before word w: 64 w - ranks[w], found by bisection.
-            low, high = np.zeros(len(k), np.int64), np.full(len(k), len(self.high) - 1, np.int64)
-            for _ in range(max(1, int(len(self.high)).bit_length())):
-                mid = (low + high + 1) >> 1
-                right = (mid << 6) - self.ranks[mid] <= k
-                low, high = np.where(right, mid, low), np.where(right, high, mid - 1)
-            word = low
-            rest = k - ((word << 6) - self.ranks[word])
+            before = (np.arange(len(self.ranks), dtype=np.int64) << 6) - self.ranks  # clear bits before each word
+            word = np.searchsorted(before, k, side="right") - 1
+            rest = k - before[word]
             bits = ~self.high[word]
         else:
             word = np.searchsorted(self.ranks, k, side="right") - 1
@@ -113,17 +110,25 @@ class EliasFano:
             return out
         highs = (values >> _U(self.width)).astype(np.int64)
         most = (len(self.high) << 6) - self.n - 1
-        todo = np.flatnonzero(highs < most)
+        todo = np.flatnonzero((highs >= 0) & (highs < most))
         if not len(todo):
             return out
         wanted, highs = values[todo] & _U((1 << self.width) - 1), highs[todo]
         begin = np.where(highs > 0, self._select(np.maximum(highs - 1, 0), True) + 1 - highs, 0)
         end = self._select(highs, True) - highs
-        low, high = begin, end
-        for _ in range(max(1, int((end - begin).max(initial=0)).bit_length())):
-            mid = (low + high) >> 1
-            less = (unpack_bits(self.low, np.minimum(mid, self.n - 1), self.width) < wanted) & (low < high)
-            low, high = np.where(less, mid + 1, low), np.where(less, high, np.minimum(mid, high))
+        low = begin.copy()
+        if int((end - begin).max(initial=0)) <= _FEW:
+            live = np.flatnonzero(low < end)
+            while len(live):
+                live = live[unpack_bits(self.low, low[live], self.width) < wanted[live]]
+                low[live] += 1
+                live = live[low[live] < end[live]]
+        else:
+            high = end
+            for _ in range(int((end - begin).max()).bit_length()):
+                mid = (low + high) >> 1
+                less = (unpack_bits(self.low, np.minimum(mid, self.n - 1), self.width) < wanted) & (low < high)
+                low, high = np.where(less, mid + 1, low), np.where(less, high, np.minimum(mid, high))
         good = low < end
         at = np.minimum(low, self.n - 1)
         good &= unpack_bits(self.low, at, self.width) == wanted

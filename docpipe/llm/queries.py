@@ -53,7 +53,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.held_out_scores(_table(spark, sf_dir, "documents"), folds=10)
+    return ngram_lm.held_out_scores(_table(spark, sf_dir, "documents"), folds=10, order=3)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,18 @@
    triples at sampled places are sorted and named, the names are sorted by
    recursion, and the remaining suffixes are merged in by (phrase, rank of the
    next suffix).  The recursion ends once names reach beyond any string of 248
-   bytes, or at ``DEPTH`` levels.  Adjacent suffixes are compared, which gives each phrase the longest
+   bytes.  Adjacent suffixes are compared, which gives each phrase the longest
    match that starts with it.
 3. A match decides most strings of 200 bytes: within it they are repeated, and
    strings whose inner phrases no match covers are not.  What is left, strings
-   that reach over the ends of a match, is decided exactly by comparing their
-   64-bit fingerprints with those of all strings that can be repeated.
+   that reach over the ends of a match, is decided by comparing their 128-bit
+   fingerprints with those of all strings that can be repeated.
+
+Phrases go by 64-bit names.  Two different phrases of one name matter only where
+all that stands beside them for 200 bytes is equal too, so it takes a chance
+of 2^-64 for each pair of neighbouring suffixes to remove a string wrongly.  Keys
+of the sort are told apart for certain: a segment in which two of them would
+hash alike is hashed anew.
 
 Orders and counts are held in segments by key range in the shared folder.
 Tasks pass on distinct keys with counts, so copies are summed before they move.
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import (
-    BLOCK, U, block_rows, by_segment, merged, mix, narrow, over_segments, owned, pack, read_arrays, remove, unpack, write_arrays,
+    BLOCK, OpenFiles, U, block_rows, by_segment, merged, mix, narrow, over_segments, owned, pack, piece_hashes, read_arrays, remove, unpack, write_arrays,
 )
 from .common import arrow_map, bounded_batches, scratch_path, spans_of_equal, utf8_values
 
@@ -43,13 +49,12 @@ SPREAD = 48
 #: Text bytes for each segment, and keys that a task holds before passing them on.
 SEGMENT_BYTES = 16 << 20
 RUN_SEGMENT_BYTES = 48 << 20
-#: Levels of the recursion at most: ranks tell apart 3 to this power phrases.
-DEPTH = 4
 HELD = 2_000_000
 _CHUNK = 1 << 20
 _CUT = 60_000
 _LATER = np.arange(0xFFFF, -1, -1, dtype=np.uint32)
 _REACH = 2 * LENGTH + SPREAD
+Fingerprints = tuple[np.ndarray, np.ndarray]
 _B1, _B2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
@@ -64,24 +69,22 @@ def _powers(base: U) -> tuple[np.ndarray, np.ndarray]:
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def substring_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprints of the substrings, which are no longer than ``_REACH``, in order."""
+def substring_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the fingerprints of substrings, in order, none longer than ``_REACH``."""
     if not _tables:
         for base in (_B1, _B2):
             _tables[int(base)] = _powers(base)
-    out = np.empty(len(starts), U)
+    out = (np.empty(len(starts), U), np.empty(len(starts), U))
     done = 0
     while done < len(starts):
         lo = int(starts[done])
         upto = int(np.searchsorted(starts, lo + _CHUNK, side="left"))
         s, e = starts[done:upto] - lo, ends[done:upto] - lo
         part = text[lo : lo + int(e.max())].astype(U) + U(1)
-        total = np.zeros(len(s), U)
-        for base in (_B1, _B2):
+        for half, base in zip(out, (_B1, _B2)):
             up, down = _tables[int(base)]
             sums = np.concatenate([np.zeros(1, U), np.cumsum(part * up[: len(part)], dtype=U)])
-            total = mix(total + (sums[e] - sums[s]) * down[s])
-        out[done:upto] = total
+            half[done:upto] = mix((sums[e] - sums[s]) * down[s])
         done = upto
     return out
 
@@ -103,11 +106,9 @@ def cut_places(text: np.ndarray) -> np.ndarray:
             low = np.minimum(low[:-width], low[width:])
         change = np.append(True, low[1:] != low[:-1])
         found.append((0xFFFF - (low[change] & np.uint32(0xFFFF))).astype(np.int64) + lo)
-    return found[0][_rising(found[0])] if len(found) == 1 else np.unique(np.concatenate(found))
-
-
-def _rising(places: np.ndarray) -> np.ndarray:
-    return np.append(True, places[1:] > places[:-1])
+    # Where two cuts meet the last places of one may stand again in the next.
+    places = np.sort(np.concatenate(found))
+    return places[np.append(True, places[1:] > places[:-1])]
 
 
 class Phrases:
@@ -122,9 +123,8 @@ class Phrases:
         if edges[0] != 0:
             edges = np.append(0, edges)
         self.edges = np.append(edges, n)
-        h, at = xxhash.xxh64_intdigest, self.edges.tolist()
         # 0 stands between runs, so no name may be 0.
-        self.names = np.fromiter((h(raw[s:e]) for s, e in zip(at, at[1:])), U, len(at) - 1) | U(1)
+        self.names = piece_hashes(np.frombuffer(raw + bytes(8), np.uint8), self.edges[:-1], np.diff(self.edges)) | U(1)
 
     def runs(self, repeated: np.ndarray) -> list[tuple[int, int]]:
         """Ranges of phrases that are repeated and stand side by side.
@@ -148,19 +148,18 @@ class Phrases:
         ``reach``: for each phrase the end of its longest match, or its start.
         """
         n = len(self.text)
-        starts = np.arange(n - LENGTH + 1)
-        phrase = np.repeat(np.arange(len(self.names)), np.diff(self.edges))[: len(starts)]
-        yes = np.maximum.accumulate(reach)[phrase] >= starts + LENGTH
+        starts = np.arange(n - LENGTH + 1, dtype=np.int32)
+        reach = reach.astype(np.int32)
+        far = np.repeat(np.maximum.accumulate(reach), np.diff(self.edges))[: len(starts)]
+        yes = far - LENGTH >= starts
         # Of the inner places of each string, the first and the last.
-        before = np.zeros(n + 1, np.int64)
+        before = np.zeros(n + 1, np.int32)
         before[self.places + 1] = 1
-        before = np.cumsum(before)
+        before = np.cumsum(before, dtype=np.int32)
         first = before[SPREAD - 1 : SPREAD - 1 + len(starts)]
         last = before[LENGTH - GRAM - SPREAD + 1 :][: len(starts)] - 1
         offset = 1 if self.edges[0] != self.places[0] else 0
-        possible = reach[np.minimum(first, len(self.places) - 1) + offset] >= self.places[last]
-        # More phrases than the ranks tell apart: left to the fingerprints.
-        possible |= last - first > 3**DEPTH - 2
+        possible = reach[np.minimum(first, len(self.places) - 1) + offset] >= self.places.astype(np.int32)[last]
         return yes, possible & ~yes
 
 
@@ -203,23 +202,52 @@ class Counter:
         return block_rows([(self.kind, k, pack(keys[lo:hi], counts[lo:hi])) for k, lo, hi in by_range(range_of(keys, self.segments))])
 
 
+class FingerprintCounter:
+    """Distinct 128-bit keys with counts, passed on in blocks by the range of their first half."""
+
+    def __init__(self, kind: str, segments: int):
+        self.kind, self.segments = kind, segments
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, keys: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        self.parts.append(keys)
+        self.held += len(keys[0])
+        if self.held > HELD:
+            yield self.release()
+
+    def release(self) -> pa.RecordBatch:
+        a, b, counts = summed(self.parts, [np.ones(len(p[0]), np.int64) for p in self.parts])
+        self.parts, self.held = [], 0
+        return block_rows([(self.kind, k, pack(a[lo:hi], b[lo:hi], counts[lo:hi])) for k, lo, hi in by_range(range_of(a, self.segments))])
+
+
+def summed(keys: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 128-bit keys in the order of their first halves, with the sums of their counts."""
+    if not keys:
+        return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
+    a, b = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
+    order = np.argsort(a)
+    ordered, other = a[order], b[order]
+    if ((ordered[1:] == ordered[:-1]) & (other[1:] != other[:-1])).any():
+        order = np.lexsort((b, a))
+        ordered, other = a[order], b[order]
+    cuts = spans_of_equal(ordered, other)[:-1]
+    return ordered[cuts], other[cuts], np.add.reduceat(np.concatenate(counts)[order], cuts) if len(cuts) else np.zeros(0, np.int64)
+
+
 class Keys:
     """Sorted keys in files by range; ``at`` looks many of them up."""
 
     def __init__(self, folder: str, kind: str, segments: int, key: int = 0, screen: int | None = None):
         self.folder, self.kind, self.segments, self.key, self.screen = folder, kind, segments, key, screen
-        self.open: dict[int, list[np.ndarray]] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"open": {}}
+        self.open = OpenFiles()
 
     def path(self, k: int) -> str:
         return f"{self.folder}/{self.kind}/{k:06d}"
 
     def file(self, k: int) -> list[np.ndarray]:
-        if k not in self.open:
-            self.open[k] = read_arrays(self.path(k))
-        return self.open[k]
+        return self.open.get(self.path(k))
 
     def at(self, keys: np.ndarray, *columns: int) -> list[np.ndarray]:
         """Whether each key is held, then the wanted columns of its entry, else 0."""
@@ -245,6 +273,30 @@ class Keys:
                 values[rows] = arrays[c][place[same]]
         return [held, *out]
 
+    def at_fingerprints(self, keys: tuple[np.ndarray, np.ndarray], *columns: int) -> list[np.ndarray]:
+        """As ``at``, for 128-bit keys whose halves are the first two arrays."""
+        segment = range_of(keys[0], self.segments)
+        order = np.argsort(segment, kind="stable")
+        held = np.zeros(len(segment), bool)
+        out = [np.zeros(len(segment), np.int64) for _ in columns]
+        for k, lo, hi in by_range(segment[order]):
+            arrays = self.file(k)
+            first, second = arrays[0], arrays[1]
+            rows = order[lo:hi]
+            if self.screen is not None and len(first):
+                rows = rows[screened(arrays[self.screen], keys[0][rows])]
+            place = np.searchsorted(first, keys[0][rows])
+            while len(rows):
+                inside = np.minimum(place, len(first) - 1)
+                alike = (place < len(first)) & (first[inside] == keys[0][rows]) if len(first) else np.zeros(len(rows), bool)
+                rows, place = rows[alike], place[alike]
+                same = second[place] == keys[1][rows]
+                held[rows[same]] = True
+                for values, c in zip(out, columns):
+                    values[rows[same]] = arrays[c][place[same]]
+                rows, place = rows[~same], place[~same] + 1  # another key with this first half
+        return [held, *out]
+
 
 def screen_of(keys: np.ndarray) -> np.ndarray:
     """A bitmap of 16 bits for each key, set where a key falls."""
@@ -348,9 +400,15 @@ class SuffixSort:
             cuts = spans_of_equal(*cols[:width])[:-1]
             counts = [np.add.reduceat(c.astype(np.int64), cuts) if len(cuts) else np.zeros(0, np.int64) for c in cols[width:]]
             below = [np.cumsum(c) - c for c in counts]
-            hashed = self.key_hash([c[cuts] for c in cols[:width]])
-            by = np.argsort(hashed)
-            return [hashed[by], *(narrow(c[by]) for c in below), narrow(by)], [int(counts[0].sum()), int(counts[1].sum()), len(cuts)]
+            own = [c[cuts] for c in cols[:width]]
+            salt = 0
+            while True:
+                hashed = self.key_hash(own, salt)
+                by = np.argsort(hashed)
+                if not (hashed[by][1:] == hashed[by][:-1]).any():
+                    break
+                salt += 1
+            return [hashed[by], *(narrow(c[by]) for c in below), narrow(by), np.array([salt])], [int(counts[0].sum()), int(counts[1].sum()), len(cuts)]
 
         keys = Keys(folder, name, segments)
         totals = _write_owned(over_segments(self.spark, segments, send, BLOCK, ["kind", "segment", "block"]), segments, keys, merge)
@@ -364,7 +422,8 @@ class SuffixSort:
             order = np.lexsort((hashed, segment))
             for k, lo, hi in by_range(segment[order]):
                 arrays, rows = keys.file(k), order[lo:hi]
-                place = np.searchsorted(arrays[0], hashed[rows])
+                salt = int(arrays[4][0])
+                place = np.searchsorted(arrays[0], self.key_hash([c[rows] for c in cols], salt) if salt else hashed[rows])
                 for i in range(3):
                     out[i][rows] = arrays[i + 1][place].astype(np.int64) + base[k][i]
             return out
@@ -373,8 +432,8 @@ class SuffixSort:
         return lookup
 
     @staticmethod
-    def key_hash(cols: list[np.ndarray]) -> np.ndarray:
-        h = np.zeros(len(cols[0]), U)
+    def key_hash(cols: list[np.ndarray], salt: int = 0) -> np.ndarray:
+        h = np.full(len(cols[0]), salt, U)
         for c in cols:
             h = mix(h * U(0x9E3779B97F4A7C15) + c + U(0x632BE59BD9B4E019))
         return h
@@ -593,7 +652,7 @@ class RepeatedSpans:
         blocks = arrow_map(self.docs, ["text"], run, BLOCK)
         totals = _write_owned(blocks, segments, self.starts, merge)
         depth, covered = 0, 1
-        while covered < max(t[0] for t in totals) and depth < DEPTH:
+        while covered < max(t[0] for t in totals):
             depth, covered = depth + 1, covered * 3
         return depth
 
@@ -679,34 +738,37 @@ class RepeatedSpans:
         """Compare undecided strings with each other, then with the decided ones."""
         read, segments, touched = self.reader(), self.segments, self.touched
 
-        def blocks_of(kind: str, which: int, choose: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        def blocks_of(kind: str, which: int, choose: Callable[[Fingerprints], Fingerprints]) -> DataFrame:
             """Keys of the strings with the verdict ``which``, as ``choose`` leaves them."""
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                counter = Counter(kind, segments)
+                counter = FingerprintCounter(kind, segments)
                 for texts in _groups(batches, 0, touched):
                     found = [_keys_of(p, p.verdicts(r)[which]) for p, r in zip(texts, read(texts)) if r is not None]
-                    if found and len(keys := choose(np.concatenate(found))):
+                    if found and len((keys := choose(_together(found)))[0]):
                         yield from counter.add(keys)
                 yield counter.release()
 
             return arrow_map(self.docs, ["text"], run, BLOCK)
 
+        def sums(held: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            parts = [unpack(b, 3) for _, b in held]
+            return summed([(p[0], p[1]) for p in parts], [p[2].astype(np.int64) for p in parts])
+
         def merge(held: list[tuple[str, bytes]]) -> tuple[list[np.ndarray], list[int]]:
-            parts = [unpack(b, 2) for _, b in held]
-            keys, counts = merged([p[0] for p in parts], [p[1].astype(np.int64) for p in parts])
-            return [keys, np.minimum(counts, 2).astype(np.uint8), screen_of(keys[counts == 1])], [int((counts == 1).sum())]
+            a, b, counts = sums(held)
+            return [a, b, np.minimum(counts, 2).astype(np.uint8), screen_of(a[counts == 1])], [int((counts == 1).sum())]
 
         single = sum(t[0] for t in _write_owned(blocks_of("open", 1, lambda keys: keys), segments, self.open, merge))
-        once = Keys(self.folder, "open", segments, screen=2)
+        once = Keys(self.folder, "open", segments, screen=3)
 
-        def seen_once(keys: np.ndarray) -> np.ndarray:
-            held, times = once.at(keys, 1)
-            return np.unique(keys[held & (times == 1)])
+        def seen_once(keys: Fingerprints) -> Fingerprints:
+            held, times = once.at_fingerprints(keys, 2)
+            chosen = held & (times == 1)
+            return keys[0][chosen], keys[1][chosen]
 
         def merge_hits(held: list[tuple[str, bytes]]) -> tuple[list[np.ndarray], list[int]]:
-            parts = [unpack(b, 2) for _, b in held]
-            return [merged([p[0] for p in parts])[0]], [0]
+            return list(sums(held)[:2]), [0]
 
         blocks = blocks_of("hits", 0, seen_once) if single else self.spark.createDataFrame([], BLOCK)
         _write_owned(blocks, segments, self.hits, merge_hits)
@@ -717,9 +779,9 @@ class RepeatedSpans:
 
         def marks(texts: list[Phrases]) -> list[np.ndarray | None]:
             verdicts = [p.verdicts(r) if r is not None else None for p, r in zip(texts, read(texts))]
-            keys = [_keys_of(p, v[1]) if v else np.zeros(0, U) for p, v in zip(texts, verdicts)]
-            together = np.concatenate(keys) if keys else np.zeros(0, U)
-            found = (once.at(together, 1)[1] > 1) | hits.at(together)[0]
+            keys = [_keys_of(p, v[1]) if v else (np.zeros(0, U), np.zeros(0, U)) for p, v in zip(texts, verdicts)]
+            together = _together(keys)
+            found = (once.at_fingerprints(together, 2)[1] > 1) | hits.at_fingerprints(together)[0]
             out: list[np.ndarray | None] = []
             at = 0
             for p, v, own in zip(texts, verdicts, keys):
@@ -727,22 +789,27 @@ class RepeatedSpans:
                     out.append(None)
                     continue
                 yes, maybe = v
-                yes[np.flatnonzero(maybe)[found[at : at + len(own)]]] = True
-                at += len(own)
-                change = np.zeros(len(p.text) + 1, np.int64)
+                yes[np.flatnonzero(maybe)[found[at : at + len(own[0])]]] = True
+                at += len(own[0])
+                change = np.zeros(len(p.text) + 1, np.int16)
                 change[: len(yes)] += yes
                 change[LENGTH : LENGTH + len(yes)] -= yes
-                out.append(np.cumsum(change[:-1]) > 0 if yes.any() else None)
+                out.append(np.cumsum(change[:-1], dtype=np.int16) > 0 if yes.any() else None)
             return out
 
         return marks
 
 
-def _keys_of(p: Phrases, chosen: np.ndarray) -> np.ndarray:
+def _keys_of(p: Phrases, chosen: np.ndarray) -> Fingerprints:
     starts = np.flatnonzero(chosen)
     return substring_hashes(p.text, starts, starts + LENGTH)
 
 
+def _together(keys: list[Fingerprints]) -> Fingerprints:
+    a, b = ([k[i] for k in keys] or [np.zeros(0, U)] for i in (0, 1))
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], column: int, touched: Keys) -> Iterator[list[Phrases]]:
     """Groups of the texts that hold a repeated phrase."""
     for batch in batches:

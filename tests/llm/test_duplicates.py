@@ -111,6 +111,40 @@ def test_suffix_dedup(make, monkeypatch, segment_bytes):
     assert sum(m.sum() for m in marks) > 1000
 
 
+def test_places_and_fingerprints_across_seams(monkeypatch):
+    """Where a long text is cut for the work has no part in its places and fingerprints."""
+    r = random.Random(7)
+    text = np.frombuffer(bytes(r.choice(b"abcdefgh  ") for _ in range(70_000)) + b"a" * 60_000 + bytes(r.choice(b"xy") for _ in range(5_000)), np.uint8)
+    places = suffix_dedup.cut_places(text)
+    monkeypatch.setattr(suffix_dedup, "_CUT", 1 << 15)
+    assert (suffix_dedup.cut_places(text) == places).all()
+    big = np.concatenate([text] * 9)
+    starts = np.array([0, 5, len(text), len(text) + 5, 8 * len(text) + 5])
+    a, b = suffix_dedup.substring_hashes(big, starts, starts + 200)
+    assert a[0] == a[2] and b[0] == b[2] and a[1] == a[3] == a[4] and b[1] == b[3] == b[4] and a[0] != a[1] and b[0] != b[1]
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    """Repeats that cross the cuts of a long text, and stretches of one character."""
+    r = random.Random(17)
+    noise = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    shared, other = noise(900), noise(350)
+    texts = [noise(59_700) + shared + noise(3_000), noise(10) + shared[200:700] + noise(10), noise(119_800) + other + "z" * 1_500, other[:199], other[100:330] + "z" * 260]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = [t.encode() for t in texts]
+    want = [(i, *suffix_dedup._digest_row(t, m if m.any() else None)[:4]) for i, (t, m) in enumerate(zip(raw, covered(raw)))]
+    assert sorted(map(tuple, suffix_dedup.without_repeats(df).collect())) == want
+
+
+def test_stripped_texts(make):
+    """What is left of each text against brute force on bytes; characters cut in two go whole."""
+    df = make()
+    rows = df.collect()
+    marks = covered([(r.text or "").encode() for r in rows])
+    want = [None if r.text is None else bytes(np.frombuffer(r.text.encode(), np.uint8)[~m]).decode("utf-8", "ignore") for r, m in zip(rows, marks)]
+    assert sorted(map(str, want)) == sorted(str(r.text) for r in suffix_dedup.strip_repeats(df).collect())
+
+
 def test_suffix_sort_orders_suffixes(spark):
     """Ranks of the difference cover against sorting the suffixes themselves."""
     from docpipe.llm.blocks import read_arrays, write_arrays

@@ -63,6 +63,53 @@ def test_language_model(make, monkeypatch):
         assert g[5] == pytest.approx(x[5], rel=1e-9) and g[6] == pytest.approx(x[6], rel=2e-3, abs=1e-3)
 
 
+def test_language_model_of_order_three(make):
+    """Absolute discounting of triples over the model of pairs, by dictionaries."""
+    df = make()
+    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in df.collect()]
+    learn = [w for i, w in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
+    pairs, triples = collections.Counter(), collections.Counter()
+    for w in learn:
+        t = ["BOS", *w, "END"]
+        pairs.update(zip(t, t[1:]))
+        triples.update(zip(t, t[1:], t[2:]))
+    v = len({b for _, b in pairs})
+    total, kinds, seen, whole, kinds3 = (collections.Counter() for _ in range(5))
+    for (a, b), k in pairs.items():
+        total[a] += k
+        kinds[a] += 1
+        seen[b] += 1
+    for (a, b, _), k in triples.items():
+        whole[a, b] += k
+        kinds3[a, b] += 1
+    ones = lambda c: [sum(k == j for k in c.values()) for j in (1, 2)]
+    d2, d3 = (min(0.95, max(0.05, n1 / (n1 + 2 * n2))) for n1, n2 in (ones(pairs), ones(triples)))
+    p1 = lambda b: (max(seen[b] - 0.75, 0) + 0.75 * v / (v + 1)) / len(pairs)
+    p2 = lambda a, b: p1(b) if not total[a] else (max(pairs[a, b] - d2, 0) + d2 * kinds[a] * p1(b)) / total[a]
+    p3 = lambda a, b, c: p2(b, c) if not whole[a, b] else (max(triples[a, b, c] - d3, 0) + d3 * kinds3[a, b] * p2(b, c)) / whole[a, b]
+    context = max(whole, key=whole.get)
+    assert abs(sum(p3(*context, c) for c in seen) + p3(*context, "?") - 1) < 1e-9
+    want = []
+    for i, w in rows:
+        t = ["BOS", *w, "END"]
+        want.append((i if i is not None else -1, len(w) + 1, math.log10(p2(t[0], t[1])) + sum(math.log10(p3(*x)) for x in zip(t, t[1:], t[2:]))))
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.score) for r in ngram_lm.held_out_scores(df, order=3).collect())
+    for g, x in zip(got, sorted(want), strict=True):
+        assert g[:2] == x[:2] and g[2] == pytest.approx(x[2], rel=2e-3, abs=1e-3)
+
+
+def test_tokens_of_a_slice():
+    """Words by their bytes, long ones and texts without any among them."""
+    texts = [b"", b" \t\n", b"One two\x0bTWO one", b"x" * 5000 + b" " + b"x" * 5001, "été ÉTÉ".encode(), b"a" * 8 + b" " + b"a" * 9]
+    words, sizes, hashes, counts = ngram_lm.numbered(texts)
+    plain = [t.lower().split() for t in texts]
+    assert sizes.tolist() == [len(p) for p in plain]
+    flat = [w for p in plain for w in p]
+    assert len(hashes) == len(set(flat)) and (np.diff(hashes.astype(object)) > 0).all()
+    number = dict(zip(words.tolist(), flat))
+    assert [number[k] for k in words.tolist()] == flat and sum(counts) == len(flat)
+
+
 def test_language_model_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_lm.held_out_scores(none).count() == 0
