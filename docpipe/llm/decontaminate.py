@@ -13,6 +13,7 @@ broadcast and meets all documents where they lie.  Documents are not shuffled.
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -59,99 +60,121 @@ def _free_runs(marked: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(total[width:] == total[:-width])
 
 
+def common_runs(item: np.ndarray, doc: np.ndarray, free: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """``(length, item start, doc start)`` of all longest common runs of ``width`` words or more.
+
+    Rolling hashes find where a run of the item stands in the document; runs that
+    go on from one place of the item to the next are one.  Time follows the pairs of places
+    in the worst case, texts of one repeated word, memory the document alone.
+    """
+    there = _free_runs(~free, width)
+    hashes = rolling(doc, width)[there]
+    order = np.lexsort((there, hashes))
+    hashes, there = hashes[order], there[order]
+    found: list[tuple[int, int, int]] = []
+    running = np.zeros(0, np.int64)  # document places of the runs that are still going on
+    begun = np.zeros(0, np.int64)  # item places where they began
+    for i, h in enumerate(rolling(item, width).tolist()):
+        lo, hi = np.searchsorted(hashes, np.uint64(h), "left"), np.searchsorted(hashes, np.uint64(h), "right")
+        now = there[lo:hi]
+        now = now[(doc[now[:, None] + np.arange(width)] == item[i : i + width]).all(axis=1)] if len(now) else now
+        on = np.isin(running + 1, now, assume_unique=True)
+        found += [(i - int(b) + width - 1, int(b), int(d) - (i - 1 - int(b))) for d, b in zip(running[~on], begun[~on])]
+        starts = np.full(len(now), i, np.int64)
+        starts[np.searchsorted(now, running[on] + 1)] = begun[on]
+        running, begun = now, starts
+    last = len(item) - width
+    found += [(last - int(b) + width, int(b), int(d) - (last - int(b))) for d, b in zip(running, begun)]
+    return found
+
+
 def greedy_tiles(item: np.ndarray, doc: np.ndarray, free: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Tiles ``(item start, doc start, length)``, longest first.
+    """Tiles ``(item start, doc start, length)``, longest first, then by item and document.
 
-    ``free`` tells which words of the document may be matched at all.
+    ``free`` tells which words of the document may be matched at all.  What marked
+    tiles leave of a run goes back among the runs, so that at each step the
+    longest one that is wholly free is marked.
     """
+    if len(item) < min_match:
+        return []
+    queue = [(-k, i, d) for k, i, d in common_runs(item, doc, free, min_match)]
+    heapq.heapify(queue)
     item_marked, doc_marked = np.zeros(len(item), bool), ~free
     tiles: list[tuple[int, int, int]] = []
-    width = max(min_match, len(item))
-    while True:
-        starts = _free_runs(item_marked, width)
-        there = _free_runs(doc_marked, width)
-        matches: list[tuple[int, int, int]] = []
-        if len(starts) and len(there):
-            at: dict[int, list[int]] = defaultdict(list)
-            doc_hash = rolling(doc, width)[there]
-            for h, d in zip(doc_hash.tolist(), there.tolist()):
-                at[h].append(d)
-            for h, i in zip(rolling(item, width)[starts].tolist(), starts.tolist()):
-                for d in at.get(h, ()):
-                    k = 0
-                    while i + k < len(item) and d + k < len(doc) and not item_marked[i + k] and not doc_marked[d + k] and item[i + k] == doc[d + k]:
-                        k += 1
-                    if k >= width:
-                        matches.append((k, i, d))
-        matches.sort(key=lambda m: (-m[0], m[1], m[2]))
-        marked = occluded = False
-        for k, i, d in matches:
-            if item_marked[i : i + k].any() or doc_marked[d : d + k].any():
-                occluded = True
-                continue
-            item_marked[i : i + k] = True
-            doc_marked[d : d + k] = True
-            tiles.append((i, d, k))
-            marked = True
-        if marked and occluded:
-            continue  # what a longer tile has left of a match may still be long enough
-        if width == min_match or item_marked.all():
-            return tiles
-        width = max(min_match, width // 2)
+    while queue:
+        k, i, d = heapq.heappop(queue)
+        taken = item_marked[i : i - k] | doc_marked[d : d - k]
+        if taken.any():
+            step = np.diff(np.concatenate([[1], taken.astype(np.int8), [1]]))
+            for lo, hi in zip(np.flatnonzero(step == -1).tolist(), np.flatnonzero(step == 1).tolist()):
+                if hi - lo >= min_match:
+                    heapq.heappush(queue, (lo - hi, i + lo, d + lo))
+            continue
+        item_marked[i : i - k] = True
+        doc_marked[d : d - k] = True
+        tiles.append((i, d, -k))
+        if not len(_free_runs(item_marked, min_match)):
+            break
+    return tiles
 
 
 class Block:
-    """Words, seeds and items of one block of the benchmark."""
+    """Words, seeds and items of one block of the benchmark.
+
+    Items shorter than ``min_match`` are one seed each, of their whole length.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], min_match: int):
         self.min_match = min_match
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = folded(text)
+            if not words:
+                continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
             number = len(self.items)
             self.items.append((item_id, ids))
-            for i, h in enumerate(rolling(ids, min_match).tolist()):
-                seeds[h].append((number, i))
-        self.hashes = np.array(sorted(seeds), np.uint64)
-        self.places = [seeds[h] for h in self.hashes.tolist()]
+            width = min(min_match, len(ids))
+            for i, h in enumerate(rolling(ids, width).tolist()):
+                seeds[width][h].append((number, i))
+        self.seeds = {width: (np.array(sorted(own), np.uint64), [own[h] for h in sorted(own)]) for width, own in seeds.items()}
 
     def compare(self, text: bytes, coverage: float) -> Iterator[tuple[int, int, int, int]]:
         """``(item, words, covered words, tiles)`` of each item that leaked."""
-        if not len(self.hashes):
+        if not self.seeds:
             return
         get = self.vocabulary.get
         doc = np.array([get(w, 0) for w in folded(text)], np.int64)
-        m = self.min_match
-        runs = _free_runs(doc == 0, m)
-        if not len(runs):
-            return
-        hashes = rolling(doc, m)[runs]
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes
-        by_item: dict[int, tuple[set[int], list[int]]] = {}
-        for s, d in zip(at[hit].tolist(), runs[hit].tolist()):
-            for number, i in self.places[s]:
-                places = by_item.setdefault(number, (set(), []))
-                places[0].add(i)
-                places[1].append(d)
-        for number, (here, there) in by_item.items():
-            item_id, item = self.items[number]
-            reach = np.zeros(len(item), bool)
-            for i in here:
-                reach[i : i + m] = True
-            # Tiles lie within shared seeds, so this bounds what they can cover.
-            if reach.sum() < coverage * len(item):
+        for width, (known, places_of) in self.seeds.items():
+            runs = _free_runs(doc == 0, width)
+            if not len(runs):
                 continue
-            free = np.zeros(len(doc), bool)
-            for d in there:
-                free[d : d + m] = True
-            tiles = greedy_tiles(item, doc, free, m)
-            covered = sum(k for _, _, k in tiles)
-            if covered >= coverage * len(item):
-                yield item_id, len(item), covered, len(tiles)
+            hashes = rolling(doc, width)[runs]
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = known[at] == hashes
+            by_item: dict[int, tuple[set[int], list[int]]] = {}
+            for s, d in zip(at[hit].tolist(), runs[hit].tolist()):
+                for number, i in places_of[s]:
+                    places = by_item.setdefault(number, (set(), []))
+                    places[0].add(i)
+                    places[1].append(d)
+            for number, (here, there) in by_item.items():
+                item_id, item = self.items[number]
+                reach = np.zeros(len(item), bool)
+                for i in here:
+                    reach[i : i + width] = True
+                # Tiles lie within shared seeds, so this bounds what they can cover.
+                if reach.sum() < coverage * len(item):
+                    continue
+                free = np.zeros(len(doc), bool)
+                for d in set(there):
+                    free[d : d + width] = True
+                tiles = greedy_tiles(item, doc, free, width)
+                covered = sum(k for _, _, k in tiles)
+                if covered >= coverage * len(item):
+                    yield item_id, len(item), covered, len(tiles)
 
 
 _blocks: dict[str, Block] = {}  # the worker's last block
@@ -169,9 +192,9 @@ def leaks(
     """``(doc_id, item_id, n_words, n_covered, n_tiles, coverage)`` of each leak.
 
     One row for each document row and item that leaked into it; documents
-    without a leak give none.  Items of fewer than ``min_match`` words, null
-    texts among them, can't be told from chance and never leak.  Null ids pass
-    through; repeated rows give repeated rows.
+    without a leak give none.  An item of fewer than ``min_match`` words leaks
+    where it stands whole; items without a word, null texts among them, leak
+    nowhere.  Null ids pass through; repeated rows give repeated rows.
     """
     parts = []
     for block in _benchmark_blocks(benchmark, min_match, block_bytes):

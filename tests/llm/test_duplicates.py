@@ -214,6 +214,29 @@ def test_tiling_against_all_pairs():
         assert abs(len(places) - plain_tiles(item, doc, 4)) <= 4
 
 
+def test_tiling_equals_all_pairs():
+    """The very words that plain greedy tiling covers, in number, over small alphabets and repeated words."""
+    r = random.Random(18)
+    for n in range(400):
+        letters = r.choice([1, 2, 3, 5])
+        item = [r.randrange(1, letters + 1) for _ in range(r.randrange(1, 25))]
+        doc = [r.randrange(0, letters + 1) for _ in range(r.randrange(60))]
+        width = r.choice([2, 4, 5])
+        tiles = decontaminate.greedy_tiles(np.array(item), np.array(doc, np.int64), np.array([x > 0 for x in doc], bool), width)
+        assert sum(k for _, _, k in tiles) == plain_tiles(item, [x if x else -j for j, x in enumerate(doc, 1)], width)
+
+
+def test_tiling_of_one_repeated_word():
+    tiles = decontaminate.greedy_tiles(np.ones(3_000, np.int64), np.ones(40_000, np.int64), np.ones(40_000, bool), 5)
+    assert tiles == [(0, 0, 3_000)]
+
+
+def test_short_items_leak_whole(spark, make):
+    items = spark.createDataFrame([(1, "zebra crossing"), (2, "Quagga"), (3, ""), (4, None)], "item_id long, text string")
+    docs = make([(1, "at the ZEBRA crossing we met", "en", "s", 1), (2, "crossing zebra", "en", "s", 1), (3, "a quagga stood", "en", "s", 1)])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1), (3, 2)}
+
+
 @pytest.mark.parametrize("block_bytes", [16 << 20, 200])
 def test_leaks(spark, make, bench, texts, block_bytes):
     halves = texts[0].split()
