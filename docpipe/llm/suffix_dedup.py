@@ -50,6 +50,8 @@ SPREAD = 48
 SEGMENT_BYTES = 16 << 20
 RUN_SEGMENT_BYTES = 48 << 20
 HELD = 2_000_000
+#: Bytes of texts that a task looks at together; one text may be longer.
+GROUP_BYTES = 2 << 20
 _CHUNK = 1 << 20
 _CUT = 60_000
 _LATER = np.arange(0xFFFF, -1, -1, dtype=np.uint32)
@@ -89,12 +91,22 @@ def substring_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return out
 
 
-def cut_places(text: np.ndarray) -> np.ndarray:
-    """Content-defined places: the last minimum of each ``SPREAD`` gram hashes."""
-    n = len(text) - GRAM + 1
+def cut_places(text: np.ndarray, offsets: np.ndarray | None = None) -> np.ndarray:
+    """Content-defined places: the last minimum of each ``SPREAD`` gram hashes.
+
+    ``text`` may be several texts in a row, each beginning at one of ``offsets``;
+    no gram reaches from one into the next.
+    """
+    offsets = np.zeros(1, np.int64) if offsets is None else offsets
+    window = SPREAD + GRAM - 1
+    inside = np.ones(max(0, len(text) - window + 1), bool)  # windows that lie in one text
+    for at in offsets[1:].tolist():
+        inside[max(0, at - window + 1) : at] = False
+    first = np.zeros(len(inside) + 1, bool)
+    first[np.minimum(offsets, len(inside))] = True
     found = []
-    for lo in range(0, max(1, n - SPREAD + 1), _CUT):
-        g = text[lo : lo + _CUT + SPREAD + GRAM - 2].astype(np.uint32)
+    for lo in range(0, len(inside), _CUT):
+        g = text[lo : lo + _CUT + window - 1].astype(np.uint32)
         g = g[:-1] << np.uint32(8) | g[1:]
         g = g[:-2] << np.uint32(16) | g[2:]
         g *= np.uint32(0x9E3779B1)
@@ -105,62 +117,103 @@ def cut_places(text: np.ndarray) -> np.ndarray:
         for width in (1, 2, 4, 8, 16, 16):
             low = np.minimum(low[:-width], low[width:])
         change = np.append(True, low[1:] != low[:-1])
+        change |= first[lo : lo + len(change)]
+        change &= inside[lo : lo + len(change)]
         found.append((0xFFFF - (low[change] & np.uint32(0xFFFF))).astype(np.int64) + lo)
-    # Where two cuts meet the last places of one may stand again in the next.
-    places = np.sort(np.concatenate(found))
-    return places[np.append(True, places[1:] > places[:-1])]
+    places = np.concatenate(found) if found else np.zeros(0, np.int64)
+    # Where two cuts meet the last place of one may stand again in the next.
+    return places[np.append(True, places[1:] > places[:-1])] if len(places) else places
 
 
-class Phrases:
-    """The phrases of one text of at least ``LENGTH`` bytes."""
+class Texts:
+    """The phrases of some texts in a row, each of at least ``LENGTH`` bytes.
 
-    def __init__(self, raw: bytes):
-        self.text = np.frombuffer(raw, np.uint8)
-        self.hash = xxhash.xxh64_intdigest(raw)
-        self.places = cut_places(self.text)
-        n = len(self.text)
-        edges = self.places
-        if edges[0] != 0:
-            edges = np.append(0, edges)
-        self.edges = np.append(edges, n)
+    Places, phrases and strings are counted through all of them, so that each
+    step is taken for all at once; nothing that is found reaches over an end.
+    """
+
+    def __init__(self, raw: list[bytes]):
+        sizes = np.array([len(t) for t in raw], np.int64)
+        self.raw = raw
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
+        self.padded = np.frombuffer(b"".join(raw) + bytes(8), np.uint8)
+        self.text = self.padded[: len(self.padded) - 8]
+        self.places = cut_places(self.text, self.offsets[:-1])
+        starts = np.sort(np.concatenate([self.places, self.offsets[:-1]]))
+        starts = starts[np.append(True, starts[1:] > starts[:-1])] if len(starts) else starts
+        self.edges = np.append(starts, len(self.text))
+        self.sizes = np.diff(self.edges)
         # 0 stands between runs, so no name may be 0.
-        self.names = piece_hashes(np.frombuffer(raw + bytes(8), np.uint8), self.edges[:-1], np.diff(self.edges)) | U(1)
+        self.names = piece_hashes(self.padded, starts, self.sizes) | U(1)
+        self.heads = np.searchsorted(self.edges, self.offsets)  # the first phrase of each text, then the end
+        self.of_place = np.searchsorted(starts, self.places)  # the phrase that begins at a place
+
+    def hashes(self, which: np.ndarray) -> np.ndarray:
+        return _text_hashes([self.raw[i] for i in which.tolist()])
 
-    def runs(self, repeated: np.ndarray) -> list[tuple[int, int]]:
-        """Ranges of phrases that are repeated and stand side by side.
+    def runs(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, firsts and ends of the runs of repeated phrases that stand side by side.
 
         A run matters only if it can hold all inner places of some string: from
         the place before it to the place after it, more than the inner bytes of
         a string must fit.  Short phrases that are repeated by chance fall out.
         """
-        step = np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]]))
-        lo, hi = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        first_place = 0 if self.edges[0] == self.places[0] else 1
-        before = np.where(lo - 1 >= first_place, self.edges[np.maximum(lo - 1, 0)], -LENGTH)
-        last_place = len(self.edges) - 2
-        after = np.where(hi + 1 <= last_place, self.edges[np.minimum(hi + 1, last_place)], len(self.text) + LENGTH)
+        head = np.zeros(len(repeated) + 1, bool)
+        head[self.heads] = True
+        goes_on = np.append(False, repeated[1:] & repeated[:-1]) & ~head[:-1]
+        lo = np.flatnonzero(repeated & ~goes_on)
+        hi = np.flatnonzero(repeated & ~np.append(goes_on[1:], False)) + 1
+        text = np.searchsorted(self.heads, lo, side="right") - 1
+        begin, end = self.heads[text], self.heads[text + 1]
+        is_place = np.zeros(len(self.edges), bool)
+        is_place[self.of_place] = True
+        ahead = (lo > begin) & is_place[np.maximum(lo - 1, 0)]
+        before = np.where(ahead, self.edges[np.maximum(lo - 1, 0)], self.edges[begin] - LENGTH)
+        after = np.where(hi + 1 < end, self.edges[np.minimum(hi + 1, len(self.edges) - 1)], self.edges[end] + LENGTH)
         fits = after - before >= LENGTH - GRAM - SPREAD - (SPREAD - 1) + 2
-        return list(zip(lo[fits].tolist(), hi[fits].tolist()))
+        return text[fits], lo[fits], hi[fits]
 
-    def verdicts(self, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def verdicts(self, reach: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each start of a string: surely repeated, and still undecided.
 
         ``reach``: for each phrase the end of its longest match, or its start.
+        Texts that are not ``alive`` hold no repeated string.
         """
         n = len(self.text)
-        starts = np.arange(n - LENGTH + 1, dtype=np.int32)
-        reach = reach.astype(np.int32)
-        far = np.repeat(np.maximum.accumulate(reach), np.diff(self.edges))[: len(starts)]
-        yes = far - LENGTH >= starts
-        # Of the inner places of each string, the first and the last.
-        before = np.zeros(n + 1, np.int32)
-        before[self.places + 1] = 1
-        before = np.cumsum(before, dtype=np.int32)
-        first = before[SPREAD - 1 : SPREAD - 1 + len(starts)]
-        last = before[LENGTH - GRAM - SPREAD + 1 :][: len(starts)] - 1
-        offset = 1 if self.edges[0] != self.places[0] else 0
-        possible = reach[np.minimum(first, len(self.places) - 1) + offset] >= self.places.astype(np.int32)[last]
-        return yes, possible & ~yes
+        yes, maybe = np.zeros(n, bool), np.zeros(n, bool)
+        top = np.maximum.accumulate(reach)
+        place_reach = reach[self.of_place]
+        for lo in range(0, n, _CHUNK):
+            hi = min(n, lo + _CHUNK)
+            p, q = np.searchsorted(self.edges, [lo, hi - 1], side="right") - 1
+            inner = np.minimum(self.edges[p + 1 : q + 2], hi) - np.maximum(self.edges[p : q + 1], lo)
+            starts = np.arange(lo, hi)
+            yes[lo:hi] = np.repeat(top[p : q + 1], inner) - LENGTH >= starts
+            # Of the inner places of each string, the first and the last.
+            first = self._places_before(lo + SPREAD - 1, hi - lo)
+            last = self._places_before(lo + LENGTH - GRAM - SPREAD + 1, hi - lo) - 1
+            some = np.flatnonzero((last >= first) & (first < len(self.places)))
+            maybe[lo + some] = place_reach[first[some]] >= self.places[last[some]]
+        for i in range(len(self.raw)):
+            at, end = int(self.offsets[i]), int(self.offsets[i + 1])
+            out = slice(end - LENGTH + 1, end) if alive[i] else slice(at, end)
+            yes[out] = maybe[out] = False
+        return yes, maybe & ~yes
+
+    def _places_before(self, lo: int, n: int) -> np.ndarray:
+        """How many places lie before each of n positions from ``lo``."""
+        a, b = np.searchsorted(self.places, [lo, lo + n])
+        step = np.zeros(n + 1, np.int32)
+        step[self.places[a:b] + 1 - lo] = 1
+        return np.cumsum(step[:n], dtype=np.int32) + np.int32(a)
+
+    def fingerprints(self, chosen: np.ndarray) -> Fingerprints:
+        starts = np.flatnonzero(chosen)
+        return substring_hashes(self.text, starts, starts + LENGTH)
+
+
+def _text_hashes(raw: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, raw), U, len(raw))
 
 
 def run_hash(names: np.ndarray) -> tuple[int, int]:
@@ -332,11 +385,19 @@ def _write_owned(blocks: DataFrame, segments: int, keys: Keys, merge: Callable[[
     return [got[k] for k in range(segments)]
 
 
-def _long_texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, bytes]]:
+def _grouped(batches: Iterator[pa.RecordBatch], column: int, touched: Keys | None = None) -> Iterator[Texts]:
+    """Texts that are long enough to hold a string, some MB at a time; of these the touched ones."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 128):
-            for t in utf8_values(batch.column(column).slice(lo, 128)):
-                yield len(t), t
+        sizes = np.cumsum([len(t) for t in utf8_values(batch.column(column))])
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + GROUP_BYTES, side="right")))
+            raw = [t for t in utf8_values(batch.column(column).slice(lo, hi - lo)) if len(t) >= LENGTH]
+            if touched is not None and raw:
+                raw = [t for t, held in zip(raw, touched.at(_text_hashes(raw))[0]) if held]
+            if raw:
+                yield Texts(raw)
+            lo = hi
 
 
 def _merge_counts(held: list[tuple[str, bytes]]) -> tuple[list[np.ndarray], list[int]]:
@@ -552,21 +613,16 @@ class RepeatedSpans:
     def __getstate__(self):
         return self.__dict__ | {"spark": None, "docs": None}
 
-    def _over_texts(self, kind: str, each: Callable[[Phrases, Counter], Iterator[pa.RecordBatch]]) -> DataFrame:
+    def _count_phrases(self) -> None:
         segments = self.segments
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counter = Counter(kind, segments)
-            for size, text in _long_texts(batches, 0):
-                if size >= LENGTH:
-                    yield from each(Phrases(text), counter)
+            counter = Counter("names", segments)
+            for texts in _grouped(batches, 0):
+                yield from counter.add(texts.names)
             yield counter.release()
 
-        return arrow_map(self.docs, ["text"], run, BLOCK)
-
-    def _count_phrases(self) -> None:
-        blocks = self._over_texts("names", lambda p, counter: counter.add(p.names))
-        _write_owned(blocks, self.segments, self.names, _merge_counts)
+        _write_owned(arrow_map(self.docs, ["text"], run, BLOCK), self.segments, self.names, _merge_counts)
 
     def _gather_runs(self) -> int:
         """Equal runs once, in files by run hash; returns the depth of the recursion."""
@@ -588,40 +644,21 @@ class RepeatedSpans:
                     out.append(("body", k, pack(np.zeros(len(body[0]), U), *body)))
                 return block_rows(out)
 
-            pending: list[Phrases] = []
-            size = 0
             touched = Counter("text", segments)
-
-            def take() -> Iterator[pa.RecordBatch]:
-                nonlocal held
-                repeated = names.at(np.concatenate([p.names for p in pending]))[0] if pending else np.zeros(0, bool)
-                at = 0
-                for p in pending:
-                    mine = repeated[at : at + len(p.names)]
-                    at += len(p.names)
-                    runs = p.runs(mine) if mine.any() else []
-                    if runs:
-                        yield from touched.add(np.array([p.hash], U))
-                    for lo, hi in runs:
-                        key = run_hash(p.names[lo:hi])
-                        if key in found:
-                            found[key][0] += 1
-                        else:
-                            found[key] = [1, p.names[lo:hi].copy(), np.diff(p.edges[lo : hi + 1])]
-                            held += hi - lo + 8
-
-            for length, text in _long_texts(batches, 0):
-                if length < LENGTH:
-                    continue
-                pending.append(Phrases(text))
-                size += length
-                if size > 4 << 20:
-                    yield from take()
-                    pending, size = [], 0
-                    if held > HELD:
-                        yield release()
-                        found, held = {}, 0
-            yield from take()
+            for texts in _grouped(batches, 0):
+                which, los, his = texts.runs(names.at(texts.names)[0])
+                if len(which):
+                    yield from touched.add(texts.hashes(which[np.append(True, which[1:] != which[:-1])]))
+                for lo, hi in zip(los.tolist(), his.tolist()):
+                    key = run_hash(texts.names[lo:hi])
+                    if key in found:
+                        found[key][0] += 1
+                    else:
+                        found[key] = [1, texts.names[lo:hi].copy(), texts.sizes[lo:hi].copy()]
+                        held += hi - lo + 8
+                if held > HELD:
+                    yield release()
+                    found, held = {}, 0
             yield release()
             yield touched.release()
 
@@ -705,32 +742,24 @@ class RepeatedSpans:
         for k in set(range(segments)) - done:
             write_arrays(f"{folder}/match/{k:06d}", [np.zeros(0, np.int64)])
 
-    def reader(self) -> Callable[[list[Phrases]], list[np.ndarray | None]]:
-        """For texts: the end of the longest match of each phrase, None without any."""
+    def reader(self) -> Callable[[Texts], tuple[np.ndarray, np.ndarray]]:
+        """For texts: the end of the longest match of each phrase, and which of them have any."""
         names, starts, matches = self.names, self.starts, Keys(self.folder, "match", self.run_segments)
 
-        def read(texts: list[Phrases]) -> list[np.ndarray | None]:
-            repeated = names.at(np.concatenate([p.names for p in texts]))[0] if texts else np.zeros(0, bool)
-            out: list[np.ndarray | None] = []
-            wanted: list[tuple[int, int, int, tuple[int, int]]] = []
-            at = 0
-            for i, p in enumerate(texts):
-                mine = repeated[at : at + len(p.names)]
-                at += len(p.names)
-                runs = p.runs(mine) if mine.any() else []
-                out.append(p.edges[:-1].copy() if runs else None)
-                wanted += [(i, lo, hi, run_hash(p.names[lo:hi])) for lo, hi in runs]
-            if wanted:
-                h1 = np.array([w[3][0] for w in wanted], U)
-                segment = range_of(h1, starts.segments)
-                for (i, lo, hi, key), k in zip(wanted, segment.tolist()):
-                    arrays = starts.file(k)
-                    j = int(np.searchsorted(arrays[0], U(key[0])))
-                    while int(arrays[1][j]) != key[1]:
-                        j += 1
-                    first = int(arrays[3][j])
-                    out[i][lo:hi] += matches.file(k)[0][first : first + hi - lo]
-            return out
+        def read(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+            which, los, his = texts.runs(names.at(texts.names)[0])
+            reach, alive = texts.edges[:-1].copy(), np.zeros(len(texts.raw), bool)
+            alive[which] = True
+            hashes = [run_hash(texts.names[lo:hi]) for lo, hi in zip(los.tolist(), his.tolist())]
+            segment = range_of(np.array([h[0] for h in hashes], U), starts.segments).tolist()
+            for lo, hi, key, k in zip(los.tolist(), his.tolist(), hashes, segment):
+                arrays = starts.file(k)
+                j = int(np.searchsorted(arrays[0], U(key[0])))
+                while int(arrays[1][j]) != key[1]:
+                    j += 1
+                first = int(arrays[3][j])
+                reach[lo:hi] += matches.file(k)[0][first : first + hi - lo]
+            return reach, alive
 
         return read
 
@@ -743,9 +772,9 @@ class RepeatedSpans:
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counter = FingerprintCounter(kind, segments)
-                for texts in _groups(batches, 0, touched):
-                    found = [_keys_of(p, p.verdicts(r)[which]) for p, r in zip(texts, read(texts)) if r is not None]
-                    if found and len((keys := choose(_together(found)))[0]):
+                for texts in _grouped(batches, 0, touched):
+                    keys = choose(texts.fingerprints(texts.verdicts(*read(texts))[which]))
+                    if len(keys[0]):
                         yield from counter.add(keys)
                 yield counter.release()
 
@@ -773,55 +802,22 @@ class RepeatedSpans:
         blocks = blocks_of("hits", 0, seen_once) if single else self.spark.createDataFrame([], BLOCK)
         _write_owned(blocks, segments, self.hits, merge_hits)
 
-    def covered(self) -> Callable[[list[Phrases]], list[np.ndarray | None]]:
-        """For texts: which bytes a repeated string covers, None if no byte is."""
+    def covered(self) -> Callable[[Texts], np.ndarray]:
+        """For texts: which bytes a repeated string covers."""
         read, once, hits = self.reader(), self.open, self.hits
 
-        def marks(texts: list[Phrases]) -> list[np.ndarray | None]:
-            verdicts = [p.verdicts(r) if r is not None else None for p, r in zip(texts, read(texts))]
-            keys = [_keys_of(p, v[1]) if v else (np.zeros(0, U), np.zeros(0, U)) for p, v in zip(texts, verdicts)]
-            together = _together(keys)
-            found = (once.at_fingerprints(together, 2)[1] > 1) | hits.at_fingerprints(together)[0]
-            out: list[np.ndarray | None] = []
-            at = 0
-            for p, v, own in zip(texts, verdicts, keys):
-                if v is None:
-                    out.append(None)
-                    continue
-                yes, maybe = v
-                yes[np.flatnonzero(maybe)[found[at : at + len(own[0])]]] = True
-                at += len(own[0])
-                change = np.zeros(len(p.text) + 1, np.int16)
-                change[: len(yes)] += yes
-                change[LENGTH : LENGTH + len(yes)] -= yes
-                out.append(np.cumsum(change[:-1], dtype=np.int16) > 0 if yes.any() else None)
-            return out
+        def marks(texts: Texts) -> np.ndarray:
+            yes, maybe = texts.verdicts(*read(texts))
+            keys = texts.fingerprints(maybe)
+            found = (once.at_fingerprints(keys, 2)[1] > 1) | hits.at_fingerprints(keys)[0]
+            yes[np.flatnonzero(maybe)[found]] = True
+            change = yes.astype(np.int16)
+            change[LENGTH:] -= yes[:-LENGTH]
+            return np.cumsum(change, dtype=np.int16) > 0
 
         return marks
 
 
-def _keys_of(p: Phrases, chosen: np.ndarray) -> Fingerprints:
-    starts = np.flatnonzero(chosen)
-    return substring_hashes(p.text, starts, starts + LENGTH)
-
-
-def _together(keys: list[Fingerprints]) -> Fingerprints:
-    a, b = ([k[i] for k in keys] or [np.zeros(0, U)] for i in (0, 1))
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], column: int, touched: Keys) -> Iterator[list[Phrases]]:
-    """Groups of the texts that hold a repeated phrase."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            texts = [t for t in utf8_values(batch.column(column).slice(lo, 512)) if len(t) >= LENGTH]
-            yield [Phrases(t) for t, held in zip(texts, _touched(texts, touched)) if held]
-
-
-def _touched(texts: list[bytes], touched: Keys) -> np.ndarray:
-    return touched.at(np.fromiter(map(xxhash.xxh64_intdigest, texts), U, len(texts)))[0]
-
-
 def _common_bytes(files: Keys, seg: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Bytes of the equal phrases with which neighbours in the order begin."""
     n = len(at) - 1
@@ -858,19 +854,21 @@ def _digest_row(raw: bytes, mark: np.ndarray | None) -> tuple[int, int, int, str
     return len(raw), int(mark.sum()), spans, hashlib.sha256(kept).hexdigest(), kept
 
 
-def _marked(raw: list[bytes], touched: Keys, marks: Callable[[list[Phrases]], list[np.ndarray | None]]) -> list[np.ndarray | None]:
-    """For each text which of its bytes go, a few MB of texts at a time."""
+def _marked(raw: list[bytes], touched: Keys, marks: Callable[[Texts], np.ndarray]) -> list[np.ndarray | None]:
+    """For each text which of its bytes go, None if none does; some MB of texts at a time."""
     found: list[np.ndarray | None] = [None] * len(raw)
     long = [i for i, t in enumerate(raw) if len(t) >= LENGTH]
     group: list[int] = []
     size = 0
-    for i, held in zip([*long, -1], [*_touched([raw[i] for i in long], touched), False]):
+    for i, held in zip([*long, -1], [*touched.at(_text_hashes([raw[i] for i in long]))[0], False]):
         if held:
             group.append(i)
             size += len(raw[i])
-        if group and (size > 4 << 20 or i < 0):
-            for j, m in zip(group, marks([Phrases(raw[j]) for j in group])):
-                found[j] = m
+        if group and (size > GROUP_BYTES or i < 0):
+            texts = Texts([raw[j] for j in group])
+            mark = marks(texts)
+            for j, lo, hi in zip(group, texts.offsets[:-1].tolist(), texts.offsets[1:].tolist()):
+                found[j] = mark[lo:hi] if mark[lo:hi].any() else None
             group, size = [], 0
     return found
 
