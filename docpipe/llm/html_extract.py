@@ -30,12 +30,13 @@ TRAINING_PAGES = 500
 MIXED_COST = 1.0
 #: How much the log-odds of an element without text of its own count.
 CONTAINER_WEIGHT = 0.25
-#: Elements that form blocks, that hold no prose, and that have no content.
+#: Elements that form blocks, that hold no prose (of these, whose content is no markup), and that have no content.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-SILENT = frozenset("script style noscript template textarea select button svg iframe object head title math audio video canvas datalist".split())
+SILENT = frozenset("script style noscript template textarea select button svg iframe head title datalist".split())
+RAW = frozenset("script style textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements that a start tag closes, and what they are not looked for beyond.
 CLOSES = {
@@ -65,6 +66,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
 _STOPS = re.compile(r"[.!?…。]")
 
 
@@ -120,6 +122,26 @@ class Page:
                 if tag in beyond:
                     return
 
+        closings: dict[str, re.Match | None] = {}
+
+        def silent_end(tag: str, at: int) -> int:
+            """Where an element without prose ends: by its own end tag, else with the block it is in.
+
+            An end tag behind another start of the element is not its own.  A
+            head left open holds nothing.
+            """
+            if tag not in closings or closings[tag] and closings[tag].start() < at:
+                closings[tag] = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            stop = closings[tag]
+            if stop and (tag in RAW or tag == "head" or not re.compile(rf"<{tag}(?=[\s/>])", re.I).search(source, at, stop.start())):
+                return stop.end()
+            if tag == "head":
+                return at
+            block = _BLOCK_TAG.search(source, at)
+            if stop and (not block or stop.start() < block.start()):
+                return stop.end()
+            return block.start() if block else end
+
         at, end = 0, len(source)
         while at < end:
             m = _TOKEN.match(source, at)
@@ -142,11 +164,8 @@ class Page:
             tags += 1
             if tag in SILENT:
                 controls += tag in ("textarea", "select", "button")
-                if not attributes.endswith("/") or tag not in ("svg", "math"):
-                    stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                    if stop is None and tag == "head":
-                        continue  # a head left open must not hide the page
-                    at = stop.end() if stop else end
+                if not attributes.endswith("/") or tag != "svg":
+                    at = silent_end(tag, at)
             elif tag in ("br", "hr", "wbr"):
                 if tag == "hr":
                     flush()

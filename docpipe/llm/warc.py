@@ -88,9 +88,11 @@ def parse_record(record: bytes) -> dict:
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from evenly spread records; empty where fewer than 8 are there.
+    """A dictionary from evenly spread records.
 
     At least 8 records are sampled, and all of them where these can't train one.
+    Where all can't either, being too few or too short, the beginnings of the
+    records are the dictionary as they are, an eighth of their bytes at most.
     """
     total = sum(map(len, records))
     step = max(1, min(-(-total // SAMPLE_BYTES), len(records) // 8))
@@ -103,7 +105,8 @@ def build_dictionary(records: list[bytes]) -> bytes:
             return zstd.train_dictionary(size, samples).as_bytes()
         except zstd.ZstdError:
             continue
-    return b""
+    each = DICTIONARY_BYTES // max(1, len(records)) + 1
+    return b"".join(r[:each] for r in records)[: min(DICTIONARY_BYTES, total // 8)]
 
 
 def write_archive(stream, records: list[bytes]) -> None:

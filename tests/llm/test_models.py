@@ -143,6 +143,40 @@ def test_toxicity(spark, texts):
     assert toxicity.score(docs, one).where("predicted = 1").count() == 0
 
 
+def test_toxicity_fit_against_plain_descent():
+    """Ratios, loss and scores recomputed with dictionaries and plain gradient descent."""
+    r = np.random.default_rng(5)
+    rows = [np.unique(r.integers(0, 60, r.integers(5, 30))).astype(np.int32) for _ in range(80)]
+    y = np.array([float(7 in x or 11 in x) for x in (set(q.tolist()) for q in rows)])
+    model = toxicity.fit(rows, y)
+    count = [[sum(j in set(q.tolist()) for q, c in zip(rows, y) if c == k) + 1.0 for j in range(60)] for k in (0, 1)]
+    whole = [sum(c) + toxicity.BUCKETS - 60 for c in count]
+    ratio = [math.log(count[1][j] / whole[1]) - math.log(count[0][j] / whole[0]) if count[0][j] + count[1][j] - 2 >= toxicity.MIN_ROWS else 0.0 for j in range(60)]
+    used = {j for j in range(60) if abs(ratio[j]) > 0.3}
+    x = np.zeros((len(rows), 60))
+    for i, q in enumerate(rows):
+        for j in set(q.tolist()) & used:
+            x[i, j] = ratio[j]
+    scale = 1 / max(1.0, math.sqrt((x**2).sum(axis=1).mean()))
+    x *= scale
+    weights = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+
+    def loss(w, b):
+        z = x @ w + b
+        return (weights * (np.logaddexp(0, z) - y * z)).sum() + toxicity.PENALTY / 2 * (w**2).sum()
+
+    w, b = np.zeros(60), 0.0
+    for _ in range(60_000):
+        error = weights * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - 0.02 * (x.T @ error + toxicity.PENALTY * w), b - 0.02 * error.sum()
+    own = np.array([model.weight[j] / (ratio[j] * scale) if j in used else 0.0 for j in range(60)])
+    assert all(model.weight[j] == 0 for j in range(60) if j not in used)
+    best, start = loss(w, b), loss(np.zeros(60), 0.0)
+    assert loss(own, model.intercept) - best < 0.25 * (start - best)
+    for i, q in enumerate(rows):
+        assert model.score(q) == pytest.approx(1 / (1 + math.exp(-(x[i] @ own + model.intercept))), abs=1e-4)
+
+
 def plain_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
@@ -307,6 +341,30 @@ def test_html_held_out_pages():
     assert exact >= 140
 
 
+@pytest.mark.parametrize(
+    ("source", "runs"),
+    [
+        ("<p>one <button>go <p>two</p><p>three</p>", ["one", "two", "three"]),
+        ("<p>one <button>go <p>two</p><button>x</button><p>three</p>", ["one", "two", "three"]),
+        ("<p>one <select><option>a <div>two</div>", ["one", "two"]),
+        ("<p>one<button><div>icon</div> press</button> two</p>", ["one two"]),
+        ("The formula <math><mi>x</mi></math> holds", ["The formula x holds"]),
+        ("<p>see <video src=v>a film of it</video> and <object>a map</object></p>", ["see a film of it and a map"]),
+        ("<script>if (a < b) document.write('<p>no</p><script>')</script><p>yes</p>", ["yes"]),
+        ("<head><title>t<p>kept</p>", ["kept"]),
+        ("<textarea>left open <p>after</p>", ["after"]),
+        ("<script>never closed", []),
+    ],
+)
+def test_elements_left_open(source, runs):
+    assert [text for _, text in html_extract.Page(source).runs] == runs
+
+
+def test_many_elements_left_open():
+    page = html_extract.Page("<button>x" * 50_000 + "<p>end</p>")
+    assert [t for _, t in page.runs] == ["end"]
+
+
 def test_html_edge_cases(spark):
     odd = [None, "", "plain text", "<", "<p", "<div><p>open", "<script>never closed", "<p>a&nbsp;b &lt;c&gt; &#233;</p>" * 3, "<div>" * 3000 + "deep" + "</div>" * 3000, "<a href='x'>" * 100]
     rows = [(i, None if i % 2 else "u", h, 1) for i, h in enumerate(odd)] + [(None, "u", "<p>x</p>", 1)]
@@ -368,6 +426,17 @@ def test_warc_archive_format():
     assert hashlib.sha1(b"").digest() and warc.sha1_base32(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 7])
+def test_dictionary_of_very_few_records(n):
+    """The beginnings of the records serve as a dictionary where none can be trained."""
+    records = [f"WARC/1.1 {k} {'some words ' * 30}".encode() for k in range(n)]
+    assert bool(warc.build_dictionary(records)) == (n > 0)
+    stream = io.BytesIO()
+    warc.write_archive(stream, records)
+    stream.seek(0)
+    assert list(warc.read_archive(stream)) == records
+
+
 def test_dictionary_of_few_large_records():
     r = random.Random(12)
     words = [f"<td class='c{k}'>word{k}</td>" for k in range(3000)]
