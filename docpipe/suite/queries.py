@@ -197,10 +197,10 @@ add("q_lookup_desc_string", "customer", [{"$lookup": {"from": "orders", "let": {
 add("q_match_all_words", "part", [{"$addFields": {"words": {"$split": ["$p_name", " "]}}}, {"$match": {"words": {"$all": ["red", "bolt"]}}}, keep("p_partkey")], "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'red') AND list_contains(string_split(p_name, ' '), 'bolt')")
 add("q_match_jsonschema_arrays", "embeddings", [{"$match": {"$jsonSchema": {"properties": {"embedding": {"bsonType": "array", "minItems": 64, "maxItems": 64, "uniqueItems": True, "items": {"bsonType": "number", "maximum": 0.375}}}}}}, keep("vec_id")], "SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND list_max(embedding) <= 0.375::FLOAT AND len(list_distinct(embedding)) = 64")
 add("q_sample_members", "orders", [{"$sample": {"size": 1000000000}}, keep("o_orderkey", "o_custkey")], "SELECT o_orderkey, o_custkey FROM orders")
-add("q_ema_nulls", "events", [{"$addFields": {"v": {"$cond": [{"$lt": [{"$mod": ["$event_id", 11]}, 2]}, "$value", None]}}}, {"$setWindowFields": {"partitionBy": {"u": "$user_id"}, "sortBy": {"ts": 1}, "output": {"x": {"$expMovingAvg": {"input": "$v", "alpha": 0.9}}, "y": {"$expMovingAvg": {"input": "$v", "N": 40}}}}}, keep("event_id", x={"$round": ["$x", 5]}, y={"$round": ["$y", 5]})], """WITH RECURSIVE h AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 11 < 2 THEN value END AS v FROM events),
+add("q_ema_nulls", "events", [{"$addFields": {"v": {"$cond": [{"$lt": [{"$mod": ["$event_id", 11]}, 2]}, "$value", None]}}}, {"$setWindowFields": {"partitionBy": {"u": "$user_id"}, "sortBy": {"ts": 1}, "output": {"x": {"$expMovingAvg": {"input": "$v", "alpha": 0.9}}, "y": {"$expMovingAvg": {"input": "$v", "N": 40}}}}}, keep("event_id", x={"$round": [{"$add": ["$x", 1.234e-7]}, 5]}, y={"$round": [{"$add": ["$y", 1.234e-7]}, 5]})], """WITH RECURSIVE h AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 11 < 2 THEN value END AS v FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM h WHERE v IS NOT NULL),
 r AS (SELECT event_id, user_id, i, v AS x, v AS y FROM n WHERE i = 1 UNION ALL SELECT n.event_id, n.user_id, n.i, n.v * 0.9::DOUBLE + r.x * (1 - 0.9::DOUBLE), n.v * (2 / 41.0::DOUBLE) + r.y * (1 - 2 / 41.0::DOUBLE) FROM n JOIN r ON n.user_id = r.user_id AND n.i = r.i + 1)
-SELECT h.event_id, round(last_value(r.x IGNORE NULLS) OVER w, 5) AS x, round(last_value(r.y IGNORE NULLS) OVER w, 5) AS y FROM h LEFT JOIN r ON h.event_id = r.event_id WINDOW w AS (PARTITION BY h.user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
+SELECT h.event_id, round(last_value(r.x IGNORE NULLS) OVER w + 1.234e-7, 5) AS x, round(last_value(r.y IGNORE NULLS) OVER w + 1.234e-7, 5) AS y FROM h LEFT JOIN r ON h.event_id = r.event_id WINDOW w AS (PARTITION BY h.user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
 
 # --- geo ---
 _LOC = {"$addFields": {"loc": {"type": "Point", "coordinates": [{"$subtract": [{"$mod": ["$c_custkey", 360]}, 180]}, {"$subtract": [{"$mod": [{"$multiply": ["$c_custkey", 7]}, 170]}, 85]}]}}}
