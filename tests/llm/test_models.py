@@ -303,6 +303,25 @@ def test_quality_of_small_languages(spark):
     assert all(x.distance is not None for x in got)
 
 
+def test_rejected_rows_go_where_they_lie(spark, small, monkeypatch):
+    """Neither the rows nor what they hold is dealt anew, however many are rejected; more sources than are broadcast give the same."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = docs.unionByName(docs.limit(20).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars"))
+    want = sorted(r.doc_id for r in quality.judged(docs).collect() if r.kept)
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        kept = quality.drop_rejected(docs)
+        assert sorted(r.doc_id for r in kept.collect()) == want and kept.columns == docs.columns
+        plan = kept._jdf.queryExecution().optimizedPlan().toString() + kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        monkeypatch.setattr(quality, "BROADCAST_SOURCES", 0)
+        assert sorted(r.doc_id for r in quality.drop_rejected(docs).collect()) == want
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_quality_is_native(make):
     from docpipe.llm import common
 
