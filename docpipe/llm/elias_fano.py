@@ -19,21 +19,26 @@ for _b in range(256):
 _U = np.uint64
 #: Runs of equal high parts that are searched one by one.
 _FEW = 8
+#: Values that are worked on together, a multiple of 64: temporaries follow it, not the sequence.
+PIECE = 1 << 18
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
-    """Values of ``width`` bits side by side in 64-bit words, one word to spare."""
+    """The lowest ``width`` bits of values side by side in 64-bit words, one word to spare."""
     n = len(values)
     words = np.zeros((n * width + 63) // 64 + 2, _U)
     if not n or not width:
         return words
-    at = np.arange(n, dtype=np.int64) * width
-    word, shift = at >> 6, (at & 63).astype(_U)
-    starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-    words[word[starts]] += np.add.reduceat(values << shift, starts)
-    over = (at & 63) + width > 64
-    if over.any():
-        words[word[over] + 1] += values[over] >> (_U(64) - shift[over])
+    for lo in range(0, n, PIECE):
+        low = values[lo : lo + PIECE] & _U((1 << width) - 1)
+        own = words[lo * width >> 6 :]
+        at = np.arange(len(low), dtype=np.int64) * width
+        word, shift = at >> 6, (at & 63).astype(_U)
+        starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        own[word[starts]] += np.add.reduceat(low << shift, starts)
+        over = (at & 63) + width > 64
+        if over.any():
+            own[word[over] + 1] += low[over] >> (_U(64) - shift[over])
     return words
 
 
@@ -55,14 +60,16 @@ class EliasFano:
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
-        values = values.astype(_U)
+        values = np.asarray(values, _U)
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         width = max(0, (top // max(n, 1)).bit_length() - 1)
-        low = pack_bits(values & _U((1 << width) - 1), width)
-        highs = (values >> _U(width)).astype(np.int64)
-        bits = np.zeros(((int(highs[-1]) if n else 0) + n + 2 + 63) // 64 * 64, np.uint8)
-        bits[highs + np.arange(n)] = 1
+        low = pack_bits(values, width)
+        last = int(values[-1]) >> width if n else 0
+        bits = np.zeros((last + n + 2 + 63) // 64 * 64, np.uint8)
+        for lo in range(0, n, PIECE):
+            highs = (values[lo : lo + PIECE] >> _U(width)).astype(np.int64)
+            bits[highs + np.arange(lo, lo + len(highs))] = 1
         high = np.packbits(bits, bitorder="little").view(_U)
         ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
         return cls(n, width, low, high, ranks)

@@ -25,7 +25,7 @@ and triple of a slice once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK, OpenFiles, block_rows, by_segment, merged, mix, owned, pack, piece_hashes, unpack, write_arrays
 from .common import arrow_map, scratch_path, spans_of_equal, stash, utf8_values
-from .elias_fano import EliasFano
+from .elias_fano import PIECE, EliasFano
 
 BOS, END, FIRST = 0, 1, 2
 #: Stands for the token after a pair whose second token is the end; no token has BOS after it.
@@ -69,7 +69,10 @@ def restored(code: np.ndarray) -> np.ndarray:
 
 
 def count_codes(counts: np.ndarray) -> np.ndarray:
-    return quantised(np.log10(np.maximum(counts, 1)) - _SHIFT)
+    out = np.empty(len(counts), np.uint16)
+    for lo in range(0, len(counts), PIECE):
+        out[lo : lo + PIECE] = quantised(np.log10(np.maximum(counts[lo : lo + PIECE], 1)) - _SHIFT)
+    return out
 
 
 def _counts_by_code() -> np.ndarray:
@@ -243,7 +246,9 @@ def _relative(value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     step = np.zeros(len(sizes), _U)
     some = np.flatnonzero(sizes > 0)
     step[some] = value[ends[some] - 1].astype(_U) + _U(1)
-    return value.astype(_U) + np.repeat(np.cumsum(step, dtype=_U) - step, sizes)
+    out = value.astype(_U)
+    out += np.repeat(np.cumsum(step, dtype=_U) - step, sizes)
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
@@ -431,8 +436,9 @@ def _build_pairs(docs: DataFrame, trie: Trie, text_col: str, widths: dict[int, i
         def release() -> pa.RecordBatch:
             rows = []
             for k, parts in held.items():
-                u, v, x, times = _sum_triples(*(np.concatenate(c) for c in zip(*parts)))
-                rows.append(("pairs", k, pack(u, v, x, times)))
+                u, v, x, times = (np.concatenate(c) for c in zip(*parts))
+                pair, x, times = _sum_triples(_joined(u, v), x, times)
+                rows.append(("pairs", k, pack(*_parted(pair), x, times)))
             return block_rows(rows)
 
         for batch in slices(batches, 0):
@@ -453,9 +459,9 @@ def _build_pairs(docs: DataFrame, trie: Trie, text_col: str, widths: dict[int, i
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, blocks in by_segment(batches):
-            parts = [unpack(b, 4) for _, b in blocks]
-            arrays, u, v, times2, times3 = _segment_arrays(parts, trie.order)
+            arrays, u, v, times2, times3 = _segment_arrays((unpack(b, 4) for _, b in blocks), trie.order)
             write_arrays(f"{trie.folder}/pairs-{k:06d}", arrays)
+            del arrays
             few = [int((t == c).sum()) for t in (times2, times3) for c in (1, 2)]
             rows = [("stats", k, pack(np.array([0]), *(np.array([x]) for x in [*few, len(times2)])))]
             by = np.argsort(v, kind="stable")
@@ -499,31 +505,66 @@ def _build_pairs(docs: DataFrame, trie: Trie, text_col: str, widths: dict[int, i
         write_arrays(f"{trie.folder}/types-{k:06d}", _type_arrays(trie, zero, zero, zero))
 
 
-def _sum_triples(u: np.ndarray, v: np.ndarray, x: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (u, v, x) in order with the sums of their times."""
-    pair = u.astype(np.int64) << 32 | v.astype(np.int64)
+def _joined(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return u.astype(np.int64) << 32 | v.astype(np.int64)
+
+
+def _parted(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return pair >> 32, pair & 0xFFFFFFFF
+
+
+def _sum_triples(pair: np.ndarray, x: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (pair, x) in order with the sums of their times."""
     order = np.lexsort((x, pair))
     pair, x = pair[order], x[order]
     cuts = spans_of_equal(pair, x)[:-1]
-    sums = np.add.reduceat(times[order], cuts) if len(cuts) else np.zeros(0, np.int64)
-    pair = pair[cuts]
-    return pair >> 32, pair & 0xFFFFFFFF, x[cuts], sums
+    sums = np.add.reduceat(times[order], cuts, dtype=np.int64) if len(cuts) else np.zeros(0, np.int64)
+    return pair[cuts], x[cuts], sums
+
+
+def _short(times: np.ndarray) -> np.ndarray:
+    return times.astype(np.int32 if int(times.max(initial=0)) < 1 << 31 else np.int64)
 
 
-def _segment_arrays(parts: list[list[np.ndarray]], order: int) -> tuple[list[np.ndarray], ...]:
+def _merged_triples(parts: Iterable[list[np.ndarray]]) -> list[np.ndarray]:
+    """Distinct (u, v, x) of blocks that are in order, with the sums of their times.
+
+    Blocks are kept in 16 bytes a row and merged a range of pairs at a time: about
+    PIECE rows, or those of one pair, are sorted together.
+    """
+    held = [(_joined(u, v), x.astype(np.int32), _short(times)) for u, v, x, times in parts if len(u)]
+    if not held:
+        return [np.zeros(0, np.int64)] * 4
+    step = 64
+    marks = np.sort(np.concatenate([pair[::step] for pair, _, _ in held]))
+    bounds = np.unique(marks[PIECE // step :: PIECE // step])
+    cuts = np.array([[0, *np.searchsorted(pair, bounds), len(pair)] for pair, _, _ in held])
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    for lo, hi in zip(cuts.T[:-1], cuts.T[1:]):
+        rows = [[c[i:j] for c in columns] for columns, i, j in zip(held, lo.tolist(), hi.tolist()) if i < j]
+        if rows:
+            pair, x, times = _sum_triples(*(np.concatenate(c) for c in zip(*rows)))
+            for column, values in zip(found, (*(c.astype(np.int32) for c in _parted(pair)), x, _short(times))):
+                column.append(values)
+    del held
+    return [np.concatenate(found.pop(0)) for _ in range(4)]
+
+
+def _segment_arrays(parts: Iterable[list[np.ndarray]], order: int) -> tuple[list[np.ndarray], ...]:
     """The arrays of a segment of the trie, its pairs, and the times of pairs and triples."""
-    cols = [np.concatenate([p[i] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for i in range(4)]
-    u, v, x, times = _sum_triples(*cols)
+    u, v, x, times = _merged_triples(parts)
     pairs = spans_of_equal(u, v)
     first = pairs[:-1]
-    times2 = np.add.reduceat(times, first) if len(first) else np.zeros(0, np.int64)
+    times2 = np.add.reduceat(times, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
     kinds3 = np.diff(pairs) - (x[first] == NONE)
     below = x != NONE
     u, v, x, times3 = u[first], v[first], x[below], times[below]
+    del times, below, pairs, first
     contexts = spans_of_equal(u)
     ef = lambda values: EliasFano.build(values).arrays()
     arrays = [*ef(u[contexts[:-1]]), *ef(contexts), *ef(_relative(v, np.diff(contexts)))]
     third = [np.zeros(1, np.int64), np.zeros(0, np.int64)] if order == 2 else [np.append(0, np.cumsum(kinds3)), _relative(x, kinds3)]
+    del x
     arrays += [*ef(third[0]), *ef(third[1]), count_codes(times2), count_codes(times3), count_codes(kinds3)]
     return arrays, u, v, times2, times3
 

@@ -7,12 +7,13 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 
-from docpipe.llm import html_extract, ngram_lm, quality, toxicity, warc
+from docpipe.llm import elias_fano, html_extract, ngram_lm, quality, toxicity, warc
 from docpipe.llm.elias_fano import EliasFano
 
 
@@ -110,6 +111,45 @@ def test_tokens_of_a_slice():
     assert [number[k] for k in words.tolist()] == flat and sum(counts) == len(flat)
 
 
+def _sorted_blocks(blocks, rows, top):
+    """Blocks of triples as tasks pass them on: each in order, some triples in several of them."""
+    r = np.random.default_rng(3)
+    for _ in range(blocks):
+        u, v, x, times = (np.sort(r.integers(2, top, rows)), *(r.integers(2, top, rows) for _ in range(2)), r.integers(1, 9, rows))
+        _, first = np.unique(np.stack([u, v, x]), axis=1, return_index=True)
+        yield [c[first].astype(np.uint64) for c in (u, v, x, times)]
+
+
+def test_a_segment_is_merged_in_little_memory():
+    """Its blocks, three copies of them in 64-bit columns, were more than an executor had left."""
+    blocks = list(_sorted_blocks(12, 100_000, 1 << 20))
+    rows = sum(len(b[0]) for b in blocks)
+    tracemalloc.start()
+    try:
+        ngram_lm._segment_arrays(blocks, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 128 * rows
+
+
+def test_a_segment_merged_by_ranges(monkeypatch):
+    """Ranges of any size give the sums of a dictionary, and sequences packed in pieces those packed whole."""
+    blocks = list(_sorted_blocks(5, 3000, 30))
+    want = collections.Counter()
+    for b in blocks:
+        for u, v, x, times in zip(*(c.tolist() for c in b)):
+            want[u, v, x] += times
+    whole = ngram_lm._segment_arrays(blocks, 3)
+    for module in (ngram_lm, elias_fano):
+        monkeypatch.setattr(module, "PIECE", 128)
+    u, v, x, times = ngram_lm._merged_triples(blocks)
+    assert list(zip(*(c.tolist() for c in (u, v, x, times)))) == [(*k, n) for k, n in sorted(want.items())]
+    for a, b in zip(whole[0] + list(whole[1:]), (parts := ngram_lm._segment_arrays(blocks, 3))[0] + list(parts[1:]), strict=True):
+        assert a.dtype == b.dtype and (a == b).all()
+    assert [len(c) for c in ngram_lm._merged_triples([])] == [0] * 4
+
+
 def test_language_model_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_lm.held_out_scores(none).count() == 0
