@@ -21,6 +21,7 @@ import base64
 import hashlib
 import heapq
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,9 +29,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, str_values
+from .common import arrow_map, spans_of_equal, str_values
 
-#: Bytes of memory for the runs and pre-tokens whose ids a worker keeps; the store is emptied beyond it.
+#: Bytes of memory for the runs and pre-tokens whose ids a worker keeps, in two halves: those met
+#: since the newer half was begun, and the half before it, which goes when the newer is full.
 CACHE_BYTES = 96 << 20
 #: What an entry takes beside its characters and ids.
 _ENTRY_BYTES = 200
@@ -53,83 +55,110 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
+_BYTES = [bytes([b]) for b in range(256)]
+
+
+def byte_pairs(ranks: dict[bytes, int]) -> np.ndarray:
+    """The rank of each pair of bytes, -1 where it is no token."""
+    table = np.full((256, 256), -1, np.int64)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            table[token[0], token[1]] = rank
+    return table
+
+
 def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, ...]]:
     """Token ids of each word.  A word that is itself a token is that token."""
-    out: list[tuple[int, ...] | None] = [None] * len(words)
-    piece: list[bytes | None] = []
-    after: list[int] = []
-    before: list[int] = []
-    starts: list[tuple[int, int]] = []
-    index: dict[int, list[int]] = {}
+    tokens = {rank: token for token, rank in ranks.items()}
+    return [tuple(np.frombuffer(x, np.int32).tolist()) for x in replay_packed(words, ranks, tokens, byte_pairs(ranks))]
+
+
+def replay_packed(words: list[bytes], ranks: dict[bytes, int], tokens: dict[int, bytes], pairs: np.ndarray) -> list[bytes]:
+    """The same as 32-bit integers in a row, given the tokens by rank and ``byte_pairs``."""
+    out = [b""] * len(words)
+    long: list[int] = []
     for w, word in enumerate(words):
         own = ranks.get(word)
         if own is not None:
-            out[w] = (own,)
-            continue
-        if not word:
-            out[w] = ()
-            continue
-        base = len(piece)
-        starts.append((w, base))
-        n = len(word)
-        for i in range(n):
-            piece.append(word[i : i + 1])
-            before.append(base + i - 1 if i else -1)
-            after.append(base + i + 1 if i + 1 < n else -1)
-            if i + 1 < n:
-                rank = ranks.get(word[i : i + 2])
-                if rank is not None:
-                    index.setdefault(rank, []).append(base + i)
-    heap = list(index)
-    heapq.heapify(heap)
+            out[w] = own.to_bytes(4, sys.byteorder)
+        elif word:
+            long.append(w)
+    if not long:
+        return out
+    data = b"".join([words[w] for w in long])
+    n = len(data)
+    ends = np.cumsum([len(words[w]) for w in long])
+    starts = np.append(0, ends[:-1])
+    links = np.arange(-1, n - 1)
+    links[starts] = -1
+    before = links.tolist()
+    links = np.arange(1, n + 1)
+    links[ends - 1] = -1
+    after = links.tolist()
+    piece: list[bytes | None] = [_BYTES[b] for b in data]
+    raw = np.frombuffer(data, np.uint8)
+    first = np.full(n, -1, np.int64)
+    first[:-1] = pairs[raw[:-1], raw[1:]]
+    first[ends - 1] = -1
+    now = first.tolist()  # the rank of the pair that begins at each place, -1 for none
+    at = np.argsort(first, kind="stable")[int((first < 0).sum()) :]
+    cuts = spans_of_equal(first[at]).tolist()
+    places = at.tolist()
+    heap = [now[places[lo]] for lo in cuts[:-1]]  # in order, so a heap
+    index = {rank: places[lo:hi] for rank, lo, hi in zip(heap, cuts, cuts[1:])}
+    pop, push, get = heapq.heappop, heapq.heappush, ranks.get
     while heap:
-        rank = heapq.heappop(heap)
+        rank = pop(heap)
         positions = index.pop(rank, None)
         if positions is None:
             continue
         positions.sort()
-        for k, i in enumerate(positions):
-            left = piece[i]
-            j = after[i]
-            if left is None or j < 0:
-                continue
-            joined = left + piece[j]
-            if ranks.get(joined) != rank:
+        joined = tokens[rank]
+        waiting = iter(positions)
+        for i in waiting:
+            if now[i] != rank:
                 continue
+            j = after[i]
             piece[i], piece[j] = joined, None
+            now[i] = now[j] = -1
             nxt = after[i] = after[j]
             prev = before[i]
             lower = False
             if nxt >= 0:
                 before[nxt] = i
-                new = ranks.get(joined + piece[nxt])
+                new = get(joined + piece[nxt])
                 if new is not None:
-                    if new not in index:
-                        index[new] = []
-                        heapq.heappush(heap, new)
-                    index[new].append(i)
+                    now[i] = new
+                    found = index.get(new)
+                    if found is None:
+                        index[new] = [i]
+                        push(heap, new)
+                    else:
+                        found.append(i)
                     lower = new < rank
             if prev >= 0:
-                new = ranks.get(piece[prev] + joined)
-                if new is not None:
-                    if new not in index:
-                        index[new] = []
-                        heapq.heappush(heap, new)
-                    index[new].append(prev)
+                new = get(piece[prev] + joined)
+                if new is None:
+                    now[prev] = -1
+                else:
+                    now[prev] = new
+                    found = index.get(new)
+                    if found is None:
+                        index[new] = [prev]
+                        push(heap, new)
+                    else:
+                        found.append(prev)
                     lower |= new < rank
             if lower:
                 # A lower rank has come up: it goes first, the rest of this one waits.
-                rest = positions[k + 1 :]
+                rest = list(waiting)
                 if rest:
                     index.setdefault(rank, []).extend(rest)
-                    heapq.heappush(heap, rank)
-                break
-    for w, base in starts:
-        ids, i = [], base
-        while i >= 0:
-            ids.append(ranks[piece[i]])
-            i = after[i]
-        out[w] = tuple(ids)
+                    push(heap, rank)
+    left = np.append(0, np.cumsum(np.fromiter((x is not None for x in piece), bool, n))) * 4
+    ids = np.array([ranks[x] for x in piece if x is not None], np.int32).tobytes()
+    for w, lo, hi in zip(long, left[starts].tolist(), left[ends].tolist()):
+        out[w] = ids[lo:hi]
     return out
 
 
@@ -151,10 +180,14 @@ class MergeReplayCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.decimals = {rank: b"%d," % rank for rank in self.tokens}
+        self.pairs = byte_pairs(ranks)
+        self.order = np.array(sorted(self.tokens), np.int32)
+        self.spellings = pa.array([self.tokens[k] for k in self.order.tolist()], pa.large_binary())
+        self.decimals = pa.array([b"%d," % k for k in self.order.tolist()], pa.large_binary())
         self.split = regex.compile(pattern)
         self.by_runs = splits_at_spaces(pattern)
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers in a row
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
@@ -178,18 +211,18 @@ class MergeReplayCodec:
         return _RUNS.findall(text) if self.by_runs and not _DISPUTED.search(text) else self.split.findall(text)
 
     def _encode_slice(self, texts: list[list[str]]) -> Iterator[bytes]:
+        if self.held > CACHE_BYTES // 2:
+            self.known, self.older, self.held = {}, self.known, 0
         known = self.known
-        if self.held > CACHE_BYTES:
-            known.clear()
-            self.held = 0
         new = {p for pieces in texts for p in pieces} - known.keys()
-        inner = {run: self.split.findall(run) for run in new}
-        fresh = list({p for pieces in inner.values() for p in pieces} - known.keys())
-        known.update(zip(fresh, (np.array(x, np.int32).tobytes() for x in replay_merges([p.encode("utf-8", "replace") for p in fresh], self.ranks))))
-        for run in new:
+        inner = self._pre_tokens(new - self._met_before(new))
+        needed = {p for pieces in inner.values() for p in pieces} - known.keys()
+        new |= needed
+        fresh = list(needed - self._met_before(needed))
+        known.update(zip(fresh, replay_packed([p.encode("utf-8", "replace") for p in fresh], self.ranks, self.tokens, self.pairs)))
+        for run, pieces in inner.items():
             if run not in known:
-                known[run] = b"".join(map(known.__getitem__, inner[run]))
-        new.update(fresh)
+                known[run] = b"".join(map(known.__getitem__, pieces))
         for pieces in texts:
             yield b"".join(map(known.__getitem__, pieces))
         for p in new:
@@ -198,12 +231,46 @@ class MergeReplayCodec:
             else:
                 self.held += _ENTRY_BYTES + len(p) + len(known[p])
 
+    def _pre_tokens(self, runs: set[str]) -> dict[str, list[str]]:
+        """The matches of the pattern in each run."""
+        if not self.by_runs:
+            return {run: self.split.findall(run) for run in runs}
+        found = {run: self.split.findall(run) for run in runs if run[-1:].isspace()}
+        # The others in one search: a line feed after a run is a match of its own, even before a space.
+        others = [run for run in runs if run not in found]
+        pieces = self.split.findall("\n".join([*others, ""]))
+        lo = 0
+        for run in others:
+            hi = lo + 1 if pieces[lo] == run else pieces.index("\n", lo)
+            found[run] = pieces[lo:hi]
+            lo = hi + 1
+        return found
+
+    def _met_before(self, pieces: set[str]) -> set[str]:
+        """Those of the pieces that the older half has; they go over to the newer."""
+        found = pieces & self.older.keys()
+        self.known.update((p, self.older[p]) for p in found)
+        return found
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def decimal(self, ids: Iterable[int]) -> bytes:
+    def decode_packed(self, packed: bytes) -> memoryview:
+        """What the ids of a text, as 32-bit integers, decode to."""
+        return self._spelt(self.spellings, packed)
+
+    def decimal(self, packed: bytes) -> memoryview:
         """The ids in decimal, joined by commas."""
-        return b"".join(map(self.decimals.__getitem__, ids))[:-1]
+        return self._spelt(self.decimals, packed)[:-1]
+
+    def _spelt(self, spellings: pa.LargeBinaryArray, packed: bytes) -> memoryview:
+        if not packed:
+            return memoryview(b"")
+        ids = np.frombuffer(packed, np.int32)
+        # Ranks without gaps are their own places.
+        at = ids if self.order[-1] == len(self.order) - 1 else np.searchsorted(self.order, ids)
+        _, offsets, data = spellings.take(pa.array(at)).buffers()
+        return memoryview(data)[: int(np.frombuffer(offsets, np.int64)[len(ids)])]
 
 
 _codecs: dict[tuple[str, str], MergeReplayCodec] = {}
@@ -240,7 +307,7 @@ def encode(
         c = codec(ranks_path, pattern)
         for batch in batches:
             packed = list(c.encode_packed(str_values(batch.column(1))))
-            decoded = [c.decode(np.frombuffer(x, np.int32).tolist()) for x in packed]
+            decoded = [bytes(c.decode_packed(x)) for x in packed]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), _id_lists(packed), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return arrow_map(docs, [id_col, text_col], run, "doc_id long, ids array<int>, decoded binary")
@@ -267,10 +334,9 @@ def encode_digests(
         for batch in batches:
             count, ids_sha, text_sha, all_ids = [], [], [], []
             for packed in c.encode_packed(str_values(batch.column(1))):
-                ids = np.frombuffer(packed, np.int32).tolist()
-                count.append(len(ids))
-                ids_sha.append(sha(c.decimal(ids)).hexdigest())
-                text_sha.append(sha(c.decode(ids)).hexdigest())
+                count.append(len(packed) // 4)
+                ids_sha.append(sha(c.decimal(packed)).hexdigest())
+                text_sha.append(sha(c.decode_packed(packed)).hexdigest())
                 if with_ids:
                     all_ids.append(packed)
             columns = [batch.column(0).cast(pa.int64()), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]

@@ -28,6 +28,54 @@ def test_replay_equals_library(encoding):
         assert codec.decode(ids) == text.encode()
 
 
+def test_runs_met_before_are_not_replayed_again(encoding, monkeypatch):
+    """Words of every slice outlive the filling of the store, which its limit still bounds."""
+    codec = bpe.MergeReplayCodec(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 2_000)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 300_000)
+    common = " ".join(f"qz{k}xkcommonj" for k in "abcdefgh")
+    encoded = []
+
+    class Ranks(dict):
+        def get(self, word, default=None):
+            if b"xkcommonj" in word:
+                encoded.append(word)
+            return super().get(word, default)
+
+    codec.ranks = Ranks(codec.ranks)
+    texts = [f"{common} " + " ".join(f"v{i}w{j}" for j in range(300)) for i in range(40)]
+    for text, ids in zip(texts, codec.encode_batch(texts), strict=True):
+        assert ids == encoding.encode_ordinary(text)
+    times = encoded.count(b" qzbxkcommonj")
+    assert times == 1
+    assert codec.older and codec.held < 300_000 and len(codec.known) + len(codec.older) < 300_000 // 200
+
+
+def test_runs_are_split_as_alone(encoding):
+    """All runs of a slice are searched at once, white space and what regular expressions dispute among them."""
+    codec = bpe.MergeReplayCodec(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    runs = {" a1b!", "don't", "'", "'s", " 's", "\n", "\n\n ", " ", "  ", "\u3000", "a\x1cb", "\x1c", " \x1f", "x\x85", "é́", " ½", "\u200b", "12ab'll", "\ufeff"}
+    assert codec._pre_tokens(runs) == {run: codec.split.findall(run) for run in runs}
+    for text in ("".join(sorted(runs)), "\n".join(sorted(runs)), "a\x1c b \x1c\n c"):
+        assert next(codec.encode_batch([text])) == encoding.encode_ordinary(text)
+
+
+def test_digests_of_a_vocabulary_with_gaps(spark, tmp_path):
+    """Ranks need not follow one another; empty texts have no ids."""
+    import base64
+
+    ranks = {bytes([b]): 3 * b + 5 for b in range(256)} | {b"ab": 2000, b"abc": 900}
+    path = tmp_path / "gaps.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for t, k in ranks.items()))
+    texts = ["abcab", "", None, "cab é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode_digests(df, str(path), P.PATTERN, with_ids=True).collect():
+        text = (texts[r.doc_id] or "").encode()
+        assert r.decoded_sha256 == hashlib.sha256(text).hexdigest()
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()
+    assert bpe.replay_merges([b"abcab", b""], ranks) == [(900, 2000), ()]
+
+
 def test_a_lower_rank_that_comes_up_goes_first():
     # Merging (b, c) makes "abc" possible, whose rank is below that of "bc" itself.
     ranks = {bytes([b]): 1000 + b for b in range(256)} | {b"bc": 9, b"abc": 3, b"abcbc": 2}
