@@ -89,12 +89,10 @@ def replay_packed(words: list[bytes], ranks: dict[bytes, int], tokens: dict[int,
     n = len(data)
     ends = np.cumsum([len(words[w]) for w in long])
     starts = np.append(0, ends[:-1])
-    links = np.arange(-1, n - 1)
-    links[starts] = -1
-    before = links.tolist()
-    links = np.arange(1, n + 1)
-    links[ends - 1] = -1
-    after = links.tolist()
+    places = list(range(n + 1))  # the lists share these numbers
+    before, after = [-1, *places[: n - 1]], places[1:]
+    for lo, hi in zip(starts.tolist(), ends.tolist()):
+        before[lo] = after[hi - 1] = -1
     piece: list[bytes | None] = [_BYTES[b] for b in data]
     raw = np.frombuffer(data, np.uint8)
     first = np.full(n, -1, np.int64)
@@ -103,9 +101,9 @@ def replay_packed(words: list[bytes], ranks: dict[bytes, int], tokens: dict[int,
     now = first.tolist()  # the rank of the pair that begins at each place, -1 for none
     at = np.argsort(first, kind="stable")[int((first < 0).sum()) :]
     cuts = spans_of_equal(first[at]).tolist()
-    places = at.tolist()
-    heap = [now[places[lo]] for lo in cuts[:-1]]  # in order, so a heap
-    index = {rank: places[lo:hi] for rank, lo, hi in zip(heap, cuts, cuts[1:])}
+    heap = first[at[cuts[:-1]]].tolist()  # in order, so a heap
+    index = {rank: [places[i] for i in at[lo:hi].tolist()] for rank, lo, hi in zip(heap, cuts, cuts[1:])}
+    del at, first, places
     pop, push, get = heapq.heappop, heapq.heappush, ranks.get
     while heap:
         rank = pop(heap)
