@@ -61,15 +61,31 @@ def absolute(raw, scope):
     return V(F.abs(v.col), v.type)
 
 
+def _halfway(x: Column) -> Column:
+    return F.abs(x - F.rint(x)) == 0.5
+
+
 @operator("$round")
 def rounded(raw, scope):
-    """Half to even; a negative place rounds to tens and so on."""
+    """Half to even; a negative place rounds to tens and so on.
+
+    Places are moved by a product, as SQL does; the shortest spelling, by which
+    ``bround`` goes, may end in 5 where the number does not.  Only what lies
+    halfway to the last bit goes to even, other products in .5 go away from zero.
+    """
     v, *place = operands(raw, scope, "$round", 1, 2)
     v = number(v, "$round")
     n = int(place[0].const) if place else 0
     if v.is_integer and n >= 0:
         return v
-    return V(F.bround(v.col, n).cast(v.type), v.type)
+    spelled = F.bround(v.col, n).cast(v.type)
+    if not 0 <= n <= 22:  # beyond, powers of ten are not exact
+        return V(spelled, v.type)
+    moved = v.col * 10.0**n
+    # halfway between places means an odd multiple of 2 ** -(n + 1)
+    away = _halfway(moved) & ~_halfway(v.col * 2.0**n)
+    farther = (moved + F.signum(moved) * 0.5) / 10.0**n
+    return V(F.when(away, farther).when(F.abs(moved) < 2.0**52, F.rint(moved) / 10.0**n).otherwise(spelled), v.type)
 
 
 @operator("$trunc")

@@ -83,6 +83,20 @@ def test_value(docs, case):
     assert (got[0].get("v") if got else None) == want
 
 
+ROUNDED = [
+    ([2.5, 0], 2.0), ([-3.5, 0], -4.0), ([0.125, 2], 0.12), ([-0.375, 2], -0.38), ([250, -2], 200), ([250.0, -2], 200.0),
+    ([2.675, 2], 2.68), ([-2.665, 2], -2.67), ([1.015, 2], 1.01), ([0.49999999999999994, 0], 0.0), ([{"$sqrt": 5075052}, 6], 2252.787607), ([{"$sqrt": 4101826}, 6], 2025.296522),
+    ([1e300, 3], 1e300), ([123456789012345.67, 2], 123456789012345.67), ([1.5e-23, 30], 1.5e-23), ([float("-inf"), 2], float("-inf")), ([None, 2], None),
+]
+
+
+def test_rounding(docs):
+    """Exact halves go to even; what is only spelled like a half, or comes to one by the product, does not."""
+    names = [f"v{i}" for i in range(len(ROUNDED))]
+    got = docs([{"a": 1}], [{"$project": {"_id": 0, **{n: {"$round": e} for n, (e, _) in zip(names, ROUNDED)}}}])
+    assert [got[0].get(n) for n in names] == [want for _, want in ROUNDED]
+
+
 @pytest.mark.parametrize("expression", [{"$ln": 0}, {"$sqrt": -1}, {"$mod": [1, 0]}, {"$size": "$a"}, {"$acos": 2}, {"$toInt": "x"}, {"$switch": {"branches": [{"case": False, "then": 1}]}}])
 def test_data_errors(docs, expression):
     with pytest.raises(Exception):

@@ -1,5 +1,6 @@
 """Every query of the suite against DuckDB."""
 
+import duckdb
 import pytest
 from oracle import connect, difference
 
@@ -21,6 +22,14 @@ def test_against_sql(name, spark, small, con):
         assert difference(df, con, sql) is None
 
 
+def test_arith_beside_halves(spark, tmp_path):
+    """Orders whose roots come within a bit of a half in the seventh place."""
+    spark.sql("SELECT o_orderkey, o_orderkey % 1000 AS o_custkey, 10.25D AS o_totalprice FROM VALUES (5075052L), (4101826L), (9L), (NULL) AS t(o_orderkey)").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert difference(suite.queries()["q_arith"](spark, str(tmp_path)), con, suite.oracle_sql()["q_arith"]) is None
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
